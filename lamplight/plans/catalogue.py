@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lamplight.functions import code as C, text as T
+from lamplight.operators import relational as R
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -28,3 +31,195 @@ def eval_summary(spark, sf_dir):
     """A1: rates of each cell."""
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_language"), (F.col("user_id") % 3).alias("difficulty")).agg(
         F.count("*").alias("n"), F.round(F.avg(F.when(F.col("value") > 20, 1.0).otherwise(0.0)), 6).alias("compile_rate"), F.round(F.avg("value"), 6).alias("mean_rate"))
+
+
+LANGS = ["de", "en", "es", "fr"]
+WIDE_SQL = "SELECT doc_id // 4 AS parallel_id, " + ", ".join(f"min_by(text, doc_id) FILTER (WHERE lang = '{x}') AS {x}" for x in LANGS) + " FROM documents GROUP BY 1"
+N_PRESENT = " + ".join(f"({x} IS NOT NULL)::INT" for x in LANGS)
+PAIRS_SQL = "WITH w AS (" + WIDE_SQL + "), l AS (" + " UNION ALL ".join(f"SELECT parallel_id, '{x}' AS lang, {x} AS text FROM w WHERE {x} IS NOT NULL" for x in LANGS) + ") SELECT a.parallel_id, a.lang AS source_language, b.lang AS target_language, a.text AS input, b.text AS output FROM l a JOIN l b ON a.parallel_id = b.parallel_id AND a.lang <> b.lang"
+HELD_SQL = "SELECT o_custkey FROM (SELECT o_custkey, row_number() OVER (ORDER BY md5('0:' || o_custkey), o_custkey) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM orders)) WHERE r <= greatest(1, round_even(n * 0.3e0, 0))"
+
+
+def _wide(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id DIV 4").alias("parallel_id"), "doc_id", "lang", "text")
+    return R.wide(docs, "parallel_id", "lang", "text", "doc_id", LANGS)
+
+
+@query(WIDE_SQL)
+def base_wide(spark, sf_dir):
+    return _wide(spark, sf_dir)
+
+
+@query("SELECT d.doc_id, d.lang, CAST(l.quality AS VARCHAR) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def enrich_left(spark, sf_dir):
+    """J1."""
+    return R.enrich(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id")
+
+
+@query("SELECT CAST(l.quality AS VARCHAR) AS quality, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def difficulty_counts(spark, sf_dir):
+    """A3."""
+    return enrich_left(spark, sf_dir).groupBy("quality").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(l.quality) AS covered, count(*) AS total, count(l.quality) / count(*) AS ratio FROM documents d LEFT JOIN labels l USING (doc_id)")
+def coverage(spark, sf_dir):
+    """A4."""
+    return enrich_left(spark, sf_dir).agg(F.count("quality").alias("covered"), F.count("*").alias("total"), F.try_divide(F.count("quality"), F.count("*")).alias("ratio"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS matched, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_base")
+def overlap_stats(spark, sf_dir):
+    """J3, J4."""
+    a, b = table(spark, sf_dir, "documents").select("doc_id").distinct(), table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("there", F.lit(1))
+    return a.join(b, "doc_id", "left").agg(F.count("there").alias("matched"), F.count(F.when(F.col("there").isNull(), 1)).alias("only_base"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 10")
+def only_primary(spark, sf_dir):
+    """J3, T2."""
+    return R.only_left(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").orderBy("doc_id").limit(10)
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def slugify(spark, sf_dir):
+    """F1."""
+    return table(spark, sf_dir, "part").select("p_partkey", T.slug("p_name").alias("slug"))
+
+
+@query("SELECT a.p_partkey FROM part a JOIN part b ON a.p_partkey = b.p_partkey WHERE trim(regexp_replace(lower(a.p_name), '[^a-z0-9]+', '-', 'g'), '-') IS DISTINCT FROM replace(lower(b.p_type), ' ', '-')")
+def title_mismatch(spark, sf_dir):
+    """J2."""
+    a = table(spark, sf_dir, "part").select("p_partkey", T.slug("p_name").alias("slug"))
+    b = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")).alias("task_id"))
+    return a.join(b, "p_partkey").where(~F.col("slug").eqNullSafe(F.col("task_id"))).select("p_partkey")
+
+
+@query("WITH w AS (" + WIDE_SQL + ") " + " UNION ALL ".join(f"SELECT '{x}' AS lang, count({x}) AS n FROM w" for x in LANGS))
+def lang_counts(spark, sf_dir):
+    """A2."""
+    return _wide(spark, sf_dir).agg(*[F.count(x).alias(x) for x in LANGS]).unpivot([], LANGS, "lang", "n")
+
+
+@query("SELECT parallel_id FROM (" + WIDE_SQL + ") WHERE " + N_PRESENT + " >= 2")
+def eligible(spark, sf_dir):
+    """PF5."""
+    return R.eligible(_wide(spark, sf_dir), LANGS).select("parallel_id")
+
+
+@query(PAIRS_SQL)
+def directed_pairs(spark, sf_dir):
+    """J9, PF7."""
+    return R.directed_pairs(_wide(spark, sf_dir), "parallel_id", LANGS)
+
+
+@query("SELECT source_language, target_language, count(*) AS n, count(DISTINCT parallel_id) AS parallels FROM (" + PAIRS_SQL + ") GROUP BY 1, 2")
+def pair_counts(spark, sf_dir):
+    """A6."""
+    return directed_pairs(spark, sf_dir).groupBy("source_language", "target_language").agg(F.count("*").alias("n"), F.countDistinct("parallel_id").alias("parallels"))
+
+
+def _pick(i):
+    return "list_extract([" + ", ".join("'" + t[i] + "'" for t in R.TEMPLATES) + "], k + 1)"
+
+
+@query("SELECT parallel_id, source_language, target_language, " + _pick(0) + " || ' ' || source_language || ' ' || " + _pick(1) + " || ' ' || target_language || " + _pick(2) + " AS instruction FROM (SELECT *, CAST(('0x' || substr(md5('0:' || parallel_id || ':' || source_language || ':' || target_language), 1, 8)) AS BIGINT) % 10 AS k FROM (" + PAIRS_SQL + "))")
+def instruction_rows(spark, sf_dir):
+    """F3, T6."""
+    p = directed_pairs(spark, sf_dir)
+    return p.select("parallel_id", "source_language", "target_language", R.instruction(F.col("parallel_id"), F.col("source_language"), F.col("target_language")).alias("instruction"))
+
+
+def _held(spark, sf_dir):
+    return R.split_keys(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (" + HELD_SQL + ")")
+def split_test(spark, sf_dir):
+    """T3, J6."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(_held(spark, sf_dir), "o_custkey", "left_semi")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (" + HELD_SQL + ")")
+def split_train(spark, sf_dir):
+    """T3, J7."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(_held(spark, sf_dir), "o_custkey", "left_anti")
+
+
+@query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
+def dedupe_first(spark, sf_dir):
+    """W1."""
+    return R.first_of(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 100")
+def random_sample(spark, sf_dir):
+    """T5."""
+    return table(spark, sf_dir, "documents").orderBy(F.md5(F.concat(F.lit("0:"), F.col("doc_id").cast("string"))), "doc_id").limit(100).select("doc_id")
+
+
+@query("WITH r AS (SELECT doc_id, lang, source, md5('0:' || doc_id) AS h, row_number() OVER (PARTITION BY lang, source ORDER BY md5('0:' || doc_id), doc_id) AS n, (SELECT greatest(1, 200 // count(*)) FROM (SELECT DISTINCT lang, source FROM documents)) AS b FROM documents) SELECT doc_id, lang, source FROM r WHERE n <= b UNION ALL SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS k FROM r WHERE n > b) WHERE k <= 200 - (SELECT count(*) FROM r WHERE n <= b)")
+def stratified_sample(spark, sf_dir):
+    """T4."""
+    return R.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 200)
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS code FROM documents")
+def fence_extract(spark, sf_dir):
+    """the texts, put into a fence."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.fenced(F.concat(F.lit("Here:\n```python\n"), "text", F.lit("\n```\ndone"))).alias("code"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS BIGINT) AS loc, length(text) AS char_count FROM documents")
+def code_length(spark, sf_dir):
+    """F7."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.lines_of_code(F.col("text")).alias("loc"), F.length("text").cast("long").alias("char_count"))
+
+
+@query(r"SELECT lang, CAST(sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def fertility_counts(spark, sf_dir):
+    """A13, F5, F6."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(T.words(F.col("text"))).alias("words"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+OUTCOME_SQL = "CASE WHEN event_type = 'view' AND value > 20 THEN 'passed' WHEN event_type = 'view' THEN 'wrong_output' WHEN lower(props || event_type) LIKE '%redefinition%' THEN 'redefinition' WHEN lower(props || event_type) LIKE '%timed out%' THEN 'timeout' ELSE 'compile_error' END"
+
+
+@query("SELECT " + OUTCOME_SQL + " AS outcome, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM events GROUP BY 1")
+def outcome_share(spark, sf_dir):
+    """F17, A7."""
+    e = table(spark, sf_dir, "events").select(T.outcome(F.col("event_type") == "view", F.when(F.col("value") > 20, 1.0).otherwise(0.0), F.concat("props", "event_type")).alias("outcome"))
+    return e.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.expr("sum(n) OVER ()"), 9))
+
+
+@query("SELECT event_type, round(avg(value) FILTER (WHERE user_id % 2 = 1) - avg(value) FILTER (WHERE user_id % 2 = 0), 6) AS delta FROM events GROUP BY 1")
+def run_delta(spark, sf_dir):
+    """A17."""
+    run = F.col("user_id") % 2
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(F.when(run == 1, F.col("value"))) - F.avg(F.when(run == 0, F.col("value"))), 6).alias("delta"))
+
+
+@query("SELECT event_type AS outcome, count(*) FILTER (WHERE user_id % 2 = 0) AS base, count(*) FILTER (WHERE user_id % 2 = 1) AS ft FROM events GROUP BY 1")
+def cross_run_summary(spark, sf_dir):
+    """A16."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("outcome")).agg(F.count_if(F.col("user_id") % 2 == 0).alias("base"), F.count_if(F.col("user_id") % 2 == 1).alias("ft"))
+
+
+@query("SELECT round(exp(sum(value * 0.001 * l) / sum(l)), 9) AS perplexity FROM (SELECT value, 1 + user_id % 7 AS l FROM events)")
+def perplexity(spark, sf_dir):
+    """Weighted by tokens."""
+    e = table(spark, sf_dir, "events").select("value", (1 + F.col("user_id") % 7).alias("l"))
+    return e.agg(F.round(F.exp(F.sum(F.col("value") * 0.001 * F.col("l")) / F.sum("l")), 9).alias("perplexity"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_metric(spark, sf_dir):
+    """F22."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query()
+def parse_asserts(spark, sf_dir):
+    """Asserts over document ids and lengths. SQL has no parser for them; tests hold it."""
+    src = table(spark, sf_dir, "documents").select("doc_id", F.format_string("def check(candidate):\n    assert candidate(%d, n = %d) == [%d]\n", "doc_id", "n_chars", "n_chars").alias("src"))
+    return src.select("doc_id", F.explode(C.parse_asserts("src")).alias("pair"))
