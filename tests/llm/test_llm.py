@@ -1,0 +1,191 @@
+"""Small tests of the ten operators: brute force, held-out accuracy, and odd rows."""
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import Row
+
+import corpus_pipeline
+from lamplight.llm import decontaminate, langid, license_scan, lm, mixing, quality, registry, secrets, simhash, topk, urls
+
+D = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, code string, keep string, h string, epoch string"
+
+
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns whose names clash."""
+    rows = [(1, "a b c d e", "en", "src0"), (1, "a b c d e", "en", "src0"), (2, "", "en", "src1"), (3, None, None, None), (None, "x y", None, "src2"), (4, "word " * 50_000, "xx", "src0"), (5, "one two three", None, None)]
+    return spark.createDataFrame([(*r, None, "c", "k", "h", "e") for r in rows], SCHEMA)
+
+
+def docs(spark):
+    return spark.read.parquet(f"{D}/documents.parquet")
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows(spark, empty):
+    x = odd(spark).limit(0) if empty else odd(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(0, "two three"), (1, ""), (2, None), (None, "x")], "item_id long, text string")
+    for df in (lm.score(x, vocabulary=16, train_share=1.0), license_scan.scan(x), langid.identify(x), secrets.scan(x), mixing.mix(x), quality.quality_classifier(x, labels), simhash.near_duplicates(x), decontaminate.matches(x, items)):
+        df.collect()
+    for df in (quality.kept(x, labels), simhash.kept(x), decontaminate.kept(x, items), secrets.kept(x)):
+        assert df.columns == x.columns
+        df.collect()
+    assert mixing.mixed(x).columns == [*x.columns, "mix_epoch"]
+    if not empty:
+        assert {r.doc_id for r in decontaminate.matches(x, items).collect()} == {5}
+
+
+def test_lm_is_normalised_and_learns(spark):
+    index, model = lm.train(docs(spark), vocabulary=64, train_share=1.0)
+    v = len(model[3])
+    lp = lm.log_probs(model, np.full(v, 3), np.full(v, 4), np.arange(v))
+    assert abs(np.exp(lp).sum() - 1) < 1e-4
+    rows = [r.text for r in docs(spark).collect()]
+    x = [lm.ids_of(t, index) for t in rows]
+    got = np.concatenate([lm.log_probs(model, t[1:-1], t[:-2], t[2:]) for t in x]).mean()
+    w = np.concatenate([t[2:] for t in x])
+    p = np.bincount(w, minlength=v) / len(w)
+    assert got > np.log(p[w]).mean()
+
+
+def test_mixing_tree():
+    leaves = {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100}
+    assert mixing.allocate(leaves, 100) == {("a", "x"): 10, ("a", "y"): 40, ("b", "x"): 50}
+    assert mixing.allocate({("a", "x"): 10, ("b", "x"): 100}, 100) == {("a", "x"): 10, ("b", "x"): 90}
+    assert sum(mixing.allocate(leaves, 1000).values()) == 210
+
+
+def test_mixing_takes_prefixes(spark):
+    import re
+
+    got = mixing.mix(docs(spark)).collect()
+    rows = docs(spark).collect()
+    n = {r.doc_id: len(re.findall(r"\S+", r.text)) for r in rows}
+    assert all(r.tokens == n[r.doc_id] for r in got)
+    per: dict = {}
+    for r in got:
+        per.setdefault((r.domain, r.lang, r.source), []).append(r)
+    cap: dict = {}
+    for r in rows:
+        key = ("web" if r.source[-1] in "02468" else "books", r.lang, r.source)
+        cap[key] = cap.get(key, 0) + 2 * n[r.doc_id]
+    want = mixing.allocate(cap, int(0.6 * sum(n.values())))
+    for key, x in per.items():
+        total = sum(r.tokens for r in x)
+        assert total >= want[key] and min(total - r.tokens for r in x) < want[key]
+
+
+def test_licenses_brute_force():
+    text = "Some text.\nReleasd under the MIT Licence. All rights reserved"
+    got = license_scan.scan_text(text, license_scan.build(license_scan.NOTICES, 0.1))
+    assert [(x[0], x[3]) for x in got] == [("all-rights-reserved", 0), ("mit", 2)]
+    assert text[got[0][1] : got[0][2]] == "All rights reserved"
+
+
+def test_bk_tree_brute_force():
+    r = np.random.default_rng(0)
+    xs = [int(x) for x in r.integers(0, 2**12, 500)]
+    t = simhash.BKTree()
+    for x in xs:
+        t.add(x)
+    for q in xs[:50]:
+        assert sorted(t.near(q, 3)) == sorted({x for x in xs if (x ^ q).bit_count() <= 3})
+
+
+def test_simhash_recall(spark):
+    codes = simhash.codes(docs(spark)).where("code IS NOT NULL").select("code").distinct()
+    xs = [r.code for r in codes.collect()]
+    want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(xs, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= simhash.RADIUS}
+    got = {(r.a, r.b) for r in simhash.pairs(codes).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "a long, b long")
+    assert {(r.code, r.root) for r in simhash.components(e).collect()} == {(2, 1), (3, 1), (4, 1), (9, 8)}
+
+
+def plain_distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        last, row = row, [i]
+        for j, d in enumerate(t, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+    return min(row)
+
+
+def test_myers_brute_force():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        p, t = ("".join(r.choice(list("abc"), k)) for k in (r.integers(1, 12), r.integers(0, 30)))
+        assert decontaminate.myers(p, t)[0] == plain_distance(p, t)
+
+
+def test_edited_items_are_found(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away from all of it"
+    x = spark.createDataFrame([(1, "so " + item.replace("quick", "quik").upper() + " end"), (2, "something else entirely")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.matches(x, items).collect()] == [(1, 7, 1)]
+
+
+def test_secrets_held_out():
+    models = secrets.train()
+    held = [w for x in secrets.labelled(100, seed=9).values() for w in x]
+    assert np.mean([bool(secrets.scan_text(f"see {w} there", models)) for w in held]) > 0.97
+    for clean in ("call +49 151 23456789 on 2024-01-02", "mail bob.12@mail2.example.com", "version 3 of thtionertionher10", "4785380592391139"):
+        assert not secrets.scan_text(clean, models)
+
+
+def test_urls_held_out(spark):
+    p = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = urls.filter_urls(p).withColumn("y", urls.label("url")).collect()
+    assert np.mean([r.blocked == bool(r.y) for r in rows]) > 0.95
+    x = spark.createDataFrame([(1, None), (2, ""), (None, "http://[bad")], "page_id long, url string")
+    assert [r.blocked for r in urls.filter_urls(x).orderBy("page_id").collect()] == [False, True, True]
+    assert urls.filter_urls(x.limit(0)).count() == 0
+
+
+def test_languages(spark):
+    rows = langid.identify(docs(spark)).collect()
+    assert np.mean([r.predicted == r.lang for r in rows]) > 0.95
+
+
+def test_top_k_brute_force(spark):
+    v = spark.read.parquet(f"{D}/embeddings.parquet")
+    rows = v.collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got: dict = {}
+    for r in topk.top_k(v, 5).collect():
+        got.setdefault(r.vec_id, []).append((r["rank"], r.distance))
+    for i in range(0, len(x), 7):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = np.sort(np.delete(d, i))[:5]
+        assert np.allclose([b for _, b in sorted(got[ids[i]])], want)
+    some = spark.createDataFrame([(1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (None, [1.0, 1.0]), (4, [])], "vec_id long, embedding array<float>")
+    assert {(r.vec_id, r.neighbour) for r in topk.top_k(some).collect()} == {(1, 2), (2, 1)}
+    assert topk.top_k(some.limit(0)).count() == 0
+
+
+def test_quality_on_labels(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    x = quality.quality_classifier(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels).join(labels, "doc_id").collect()
+    good, bad = ([r.keep for r in x if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.25
+
+
+def test_kneser_ney_sums_to_one():
+    r = np.random.default_rng(0)
+    c = np.zeros(quality.A**3, np.int64)
+    c[r.integers(0, len(c), 5000)] += r.integers(1, 9, 5000)
+    p = np.exp(-quality._kneser_ney(c).reshape(quality.A, quality.A, quality.A).astype(float))
+    assert np.allclose(p.sum(2), 1, atol=1e-3)
+
+
+def test_pipeline(spark):
+    x = corpus_pipeline.run(spark, D)
+    assert 0 < x.count() < 200
+    assert len(corpus_pipeline.STAGES) == 5 and {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in registry.QUERIES if q[:2] == "op"}
+    assert isinstance(x.first(), Row)
