@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamplight.functions import code as C, text as T
+from lamplight.functions import code as C, codegen as G, text as T
 from lamplight.operators import relational as R
 
 QUERIES, ORACLES = {}, {}
@@ -223,3 +223,81 @@ def parse_asserts(spark, sf_dir):
     """Asserts over document ids and lengths. SQL has no parser for them; tests hold it."""
     src = table(spark, sf_dir, "documents").select("doc_id", F.format_string("def check(candidate):\n    assert candidate(%d, n = %d) == [%d]\n", "doc_id", "n_chars", "n_chars").alias("src"))
     return src.select("doc_id", F.explode(C.parse_asserts("src")).alias("pair"))
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0 AND d.lang = 'en')")
+def exclusions_anti(spark, sf_dir):
+    """By a key of two columns."""
+    out = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit("en").alias("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(out, ["doc_id", "lang"], "left_anti")
+
+
+@query("SELECT d.lang, d.source, count(*) AS n, round(avg(CASE WHEN l.quality = 1 - l.toxic THEN 1.0 ELSE 0.0 END), 9) AS agree FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2")
+def audit_agreement(spark, sf_dir):
+    """A8, A10, F20."""
+    x = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return x.groupBy("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("quality").eqNullSafe(1 - F.col("toxic")), 1.0).otherwise(0.0)), 9).alias("agree"))
+
+
+@query("SELECT 'quality' AS side, CAST(quality AS VARCHAR) AS outcome, count(*) AS n FROM labels GROUP BY 2 UNION ALL SELECT 'toxic', CAST(toxic AS VARCHAR), count(*) FROM labels GROUP BY 2")
+def audit_hist(spark, sf_dir):
+    """A11."""
+    x = table(spark, sf_dir, "labels").select(F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
+    return x.unpivot([], ["quality", "toxic"], "side", "outcome").groupBy("side", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS config, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 9) AS pass_at_1, count(*) AS n FROM events GROUP BY 1")
+def code_bench_pass1(spark, sf_dir):
+    """A12."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("config")).agg(F.round(F.avg((F.col("value") > 20).cast("double")), 9).alias("pass_at_1"), F.count("*").alias("n"))
+
+
+@query("SELECT round(sum(n * rate) / sum(n), 6) AS overall, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type, count(*) AS n, avg(value) AS rate FROM events GROUP BY 1)")
+def overall_weighted(spark, sf_dir):
+    """Cells weighted by their rows."""
+    cells = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("rate"))
+    return cells.agg(F.round(F.sum(F.col("n") * F.col("rate")) / F.sum("n"), 6).alias("overall"), F.sum("n").alias("n"))
+
+
+@query("SELECT d.doc_id, CASE WHEN d.n_chars % 5 = 0 THEN 0.0 ELSE least(d.doc_id % 7, 1 + d.n_chars % 3) / (1.0 + d.n_chars % 3) END AS rate FROM documents d")
+def pass_rate(spark, sf_dir):
+    """passed among the first expected ones, by the number expected; 0 where either is empty."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: i <= F.col("doc_id") % 7).alias("got"), (1 + F.col("n_chars") % 3).cast("int").alias("want"))
+    passed = F.size(F.filter(F.slice("got", 1, F.least(F.size("got"), F.col("want"))), lambda x: x))
+    return d.select("doc_id", F.when(F.col("n_chars") % 5 == 0, 0.0).otherwise(passed / F.col("want")).alias("rate"))
+
+
+@query("SELECT m.metric, round(avg(value) FILTER (WHERE user_id % 2 = 0), 6) AS base, round(avg(value) FILTER (WHERE user_id % 2 = 1), 6) AS ft FROM (VALUES ('click'), ('view'), ('purchase'), ('none')) m(metric) LEFT JOIN events ON event_type = m.metric GROUP BY 1")
+def metric_long(spark, sf_dir):
+    """A fixed list of metrics keeps those without a value."""
+    names = spark.createDataFrame([(x,) for x in ("click", "view", "purchase", "none")], "metric string")
+    run = F.col("user_id") % 2
+    got = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg(F.when(run == 0, F.col("value"))), 6).alias("base"), F.round(F.avg(F.when(run == 1, F.col("value"))), 6).alias("ft"))
+    return names.join(got, "metric", "left")
+
+
+@query("SELECT a.doc_id, a.n_chars, b.turn FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents) a JOIN (SELECT turn, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations) b USING (i)")
+def positional_zip(spark, sf_dir):
+    """Rows paired by explicit ordinals, as many as the shorter side has."""
+    return R.numbered(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"]).join(R.numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"]), "ordinal").select("doc_id", "n_chars", "turn")
+
+
+@query(r"SELECT tokenizer, round(CAST(sum(tokens) AS DOUBLE) / sum(words), 9) AS tokens_per_word, round(CAST(sum(chars) AS DOUBLE) / sum(tokens), 9) AS chars_per_token FROM (SELECT unnest(['word', 'space', 'char']) AS tokenizer, unnest([len(regexp_extract_all(text, '[\p{L}\p{N}_]+')), len(regexp_extract_all(text, '\S+')), length(text)]) AS tokens, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words, length(text) AS chars FROM documents) GROUP BY 1")
+def fertility(spark, sf_dir):
+    """Ratios of sums for each tokenizer; every text is read once."""
+    t = F.col("text")
+    x = table(spark, sf_dir, "documents").select(T.words(t).alias("word"), F.regexp_count(t, F.lit(r"\S+")).alias("space"), F.length(t).alias("char"))
+    sums = x.agg(*[F.sum(c).alias(c) for c in ("word", "space", "char")]).withColumn("words", F.col("word")).withColumn("chars", F.col("char"))
+    y = sums.unpivot(["words", "chars"], ["word", "space", "char"], "tokenizer", "tokens")
+    return y.select("tokenizer", F.round(F.try_divide("tokens", "words"), 9).alias("tokens_per_word"), F.round(F.try_divide("chars", "tokens"), 9).alias("chars_per_token"))
+
+
+@query()
+def exec_score(spark, sf_dir):
+    """A program for every benchmark item, run and classified. SQL runs no programs; tests hold it."""
+    code = "class Solution:\n    def solve(self, a: int) -> int:\n        return a % 3\n"
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.format_string('[{"input": [%d], "expected": 1}]', "item_id").alias("pairs"))
+    src = items.select("item_id", F.concat(F.lit(G.wired(code, "", "python")), G.build_driver(F.lit("python"), "pairs", F.lit(code), F.lit("solve"))).alias("program"))
+    ran = C.execute(src, "item_id", "program")
+    rate = F.when(F.forall("passed", lambda x: x) & (F.size("passed") == 1), 1.0).otherwise(0.0)
+    return ran.select("item_id", "compiled", "passed", T.outcome(F.col("compiled"), rate, F.col("diagnostics")).alias("outcome"))

@@ -13,7 +13,7 @@ D = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "part", "orders", "events"):
+    for t in ("documents", "labels", "part", "orders", "events", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     want = con.sql(catalogue.ORACLES[name])
     got = catalogue.QUERIES[name](spark, D)
@@ -71,3 +71,19 @@ def test_sources(spark, tmp_path):
     old = spark.createDataFrame([(1, "a")], "k long, v string")
     assert sinks.merged(old, spark.createDataFrame([(1, "b"), (2, "c")], "k long, v string"), ["k"]).count() == 2
     assert sinks.markdown(old).splitlines()[2] == "| 1 | a |"
+
+
+def test_exec_score(spark):
+    rows = catalogue.QUERIES["exec_score"](spark, D).collect()
+    assert len(rows) == 40 and all((r.outcome == "passed") == (r.item_id % 3 == 1) for r in rows)
+
+
+def test_stream(spark, tmp_path):
+    from lamplight.streaming import scoring
+
+    x = spark.createDataFrame([("a", 1.0, 1.0), ("a", 0.0, 0.0), ("b", 1.0, 0.5)], "target string, compiled double, test_pass_rate double")
+    x.write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(x.schema).parquet(str(tmp_path / "in"))
+    scoring.to_parquet(scoring.summary(s, ["target"]), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).drop("epoch")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in scoring.summary(x, ["target"]).collect()}
