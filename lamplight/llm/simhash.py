@@ -13,26 +13,38 @@ from pyspark.sql import DataFrame, functions as F
 from lamplight.llm.common import stored
 
 RADIUS = 12
+JACCARD = 0.5  # of two texts' sets of word pairs, for a pair of codes to count
 
 
-def fingerprint(text: str | None) -> int | None:
-    """64 signs summed over the text's word pairs; None without words."""
+def hashes(text: str | None) -> np.ndarray:
+    """One hash a word pair, none without words."""
     w = text.lower().split() if text else []
-    if not w:
-        return None
-    h = np.array([xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(w, w[1:] or [""])], np.uint64)
+    return np.array([xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(w, w[1:] or [""])] if w else [], np.uint64)
+
+
+def signs(h: np.ndarray) -> int | None:
     n = np.zeros(64, np.int64)
     for k in range(0, len(h), 65536):
         n += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * n > len(h)).view(np.int64)[0])
+    return int(np.packbits(2 * n > len(h)).view(np.int64)[0]) if len(h) else None
+
+
+def fingerprint(text: str | None) -> int | None:
+    """64 signs summed over the text's word pairs; None without words."""
+    return signs(hashes(text))
 
 
 def codes(docs: DataFrame) -> DataFrame:
+    """doc_id, code, node (of the set of word pairs), h (of the text)."""
+
     def each(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "code": pd.array([fingerprint(t) for t in b.text], dtype="Int64")})
+            x = [hashes(t) for t in b.text]
+            node = [xxhash.xxh3_64_intdigest(np.unique(h).tobytes()) if len(h) else None for h in x]
+            node = [n if n is None or n < 1 << 63 else n - (1 << 64) for n in node]
+            yield pd.DataFrame({"doc_id": b.doc_id, "code": pd.array([signs(h) for h in x], dtype="Int64"), "node": pd.array(node, dtype="Int64"), "h": b.h})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, code long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInPandas(each, "doc_id long, code long, node long, h long")
 
 
 class BKTree:
@@ -67,18 +79,18 @@ class BKTree:
         return out
 
 
-def shards(n: int) -> list[int]:
+def shards(n: int, radius: int = RADIUS) -> list[int]:
     """Masks of the sampled bits: wide enough for about 64 codes a shard, 12 at least, and as many as keep a
-    pair at distance 10 together in one of them with probability 0.95."""
+    pair at the radius together in one of them with probability 0.95."""
     bits = max(12, math.ceil(math.log2(max(1, n) / 64)))
-    together = math.comb(54, bits) / math.comb(64, bits)
+    together = math.comb(64 - radius, bits) / math.comb(64, bits)
     rng = random.Random(7)
     return [sum(1 << b for b in rng.sample(range(64), bits)) for _ in range(math.ceil(math.log(0.05) / math.log(1 - together)))]
 
 
 def pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a < b: distinct codes within the radius that meet in a shard."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in shards(distinct.count())]
+    masks = [m - (1 << 64) if m >> 63 else m for m in shards(distinct.count(), radius)]
     rows = distinct.select("code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("mask", "part"))
 
     def search(batches):
@@ -114,13 +126,69 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, group_id (the least doc_id of its group), keep. Documents without words, null texts included,
+def verified(candidates: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """Those of the node pairs a, b whose sets of word pairs have the Jaccard similarity."""
+
+    def check(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.x, b.y):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = 0
+                if min(len(x), len(y)) >= jaccard * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= jaccard * (len(x) + len(y) - both))
+            yield b.loc[ok, ["a", "b"]]
+
+    x, y = (sets.select(F.col("node").alias(k), F.col("pairs").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+
+
+def linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, jaccard: float) -> DataFrame:
+    """node, root over the verified pairs among nodes whose codes are the same or near. First the least node of each
+    code stands for it; of the rest, only pairs that this left apart are compared, so no pair that could join is left out."""
+    codes_ = nodes.groupBy("code").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    busy = near.select(F.explode(F.array("a", "b")).alias("code")).unionByName(codes_.where("n > 1").select("code")).distinct()
+    some = stored(nodes.join(busy, "code", "left_semi"), "nodes")
+
+    def pairs_of(batches):
+        for b in batches:
+            yield pd.DataFrame({"node": b.node, "pairs": [np.unique(hashes(t)).tobytes() for t in b.text]})
+
+    first = some.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("node", "x.*")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(first, ["doc_id", "h"]).select("node", "text")
+    sets = stored(texts.mapInPandas(pairs_of, "node long, pairs binary").dropDuplicates(["node"]), "pairs")
+
+    def ordered(x: DataFrame) -> DataFrame:
+        return x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+
+    stars = some.join(codes_, "code").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    across = near.join(codes_.select(F.col("code").alias("a"), F.col("least").alias("x")), "a").join(codes_.select(F.col("code").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    roots = stored(components(verified(ordered(stars.unionByName(across)), sets, jaccard)), "roots")
+    at = stored(some.join(roots.withColumnRenamed("code", "node"), "node", "left").select("code", "node", F.coalesce("root", "node").alias("root")), "at")
+    span = at.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    left, right = (span.select(F.col("code").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in "ab")
+    apart = near.join(left, "a").join(right, "b").where("least(lo_a, lo_b) < greatest(hi_a, hi_b)").select("a", "b")
+    apart = apart.unionByName(span.where("lo < hi").select(F.col("code").alias("a"), F.col("code").alias("b")))
+    left, right = (at.select(F.col("code").alias(k), F.col("node").alias(n), F.col("root").alias(f"root_{k}")) for k, n in (("a", "x"), ("b", "y")))
+    rest = ordered(apart.join(left, "a").join(right, "b").where("root_a <> root_b"))
+    more = stored(verified(rest, sets, jaccard), "edges")
+    if not more.isEmpty():
+        roots = components(more.unionByName(roots.select(F.col("code").alias("a"), F.col("root").alias("b"))))
+    return roots.withColumnRenamed("code", "node")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD) -> DataFrame:
+    """doc_id, group_id (the least doc_id of its group), keep. Groups are joined by pairs whose codes are within the
+    radius and whose sets of word pairs have the Jaccard similarity. Documents without words, null texts included,
     stand alone; rows with one doc_id are one document; those with a null doc_id are left out."""
-    own = stored(codes(docs.where("doc_id IS NOT NULL")), "codes").groupBy("doc_id").agg(F.min("code").alias("code"))
-    own = stored(own, "codes")
-    roots = components(pairs(own.select("code").where("code IS NOT NULL").distinct(), radius))
-    grouped = own.where("code IS NOT NULL").join(roots, "code", "left").select("doc_id", F.coalesce("root", "code").alias("root"))
+    docs = docs.where("doc_id IS NOT NULL")
+    one = F.min(F.when(F.col("code").isNotNull(), F.struct("code", "node", "h"))).alias("x")
+    own = stored(stored(codes(docs), "codes").groupBy("doc_id").agg(one).select("doc_id", "x.*"), "codes")
+    nodes = stored(own.where("code IS NOT NULL").groupBy("code", "node").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("code", "node", "x.*"), "nodes")
+    near = stored(pairs(nodes.select("code").distinct(), radius), "near")
+    roots = linked(docs, nodes, near, jaccard)
+    grouped = own.where("code IS NOT NULL").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     first = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"))
     out = grouped.join(first, "root").select("doc_id", "group_id").unionByName(own.where("code IS NULL").select("doc_id", F.col("doc_id").alias("group_id")))
     return out.withColumn("keep", F.col("doc_id") == F.col("group_id"))

@@ -103,6 +103,26 @@ def test_simhash_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_near_codes_of_unrelated_texts_stay_apart(spark):
+    """Documents 820 and 2720, 1581 and 2132 of sf0.1: near codes, hardly a word pair in common."""
+    x = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id IN (820, 2720, 1581, 2132)")
+    got = x.select("doc_id", "text").collect()
+    codes = {r.doc_id: simhash.fingerprint(r.text) for r in got}
+    assert all(((codes[a] ^ codes[b]) & (2**64 - 1)).bit_count() <= simhash.RADIUS for a, b in ((820, 2720), (1581, 2132)))
+    assert all(r.keep for r in simhash.near_duplicates(x).collect())
+    w = " ".join(f"w{i}" for i in range(200))
+    y = spark.createDataFrame([(1, w), (2, w.upper()), (3, w + " more"), (4, "other words"), (5, "word " * 9 + "x"), (6, "word " * 90 + "x")], "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in simhash.near_duplicates(y).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+
+
+@pytest.mark.parametrize("n", [10, 10**6, 10**8])
+def test_shards_hold_the_radius(n):
+    masks = simhash.shards(n)
+    r = np.random.default_rng(0)
+    diffs = [sum(1 << int(i) for i in r.choice(64, simhash.RADIUS, replace=False)) for _ in range(500)]
+    assert np.mean([any(not d & m for m in masks) for d in diffs]) >= 0.9
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "a long, b long")
     assert {(r.code, r.root) for r in simhash.components(e).collect()} == {(2, 1), (3, 1), (4, 1), (9, 8)}
