@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-D, NOISE = 16, 8
+from lamplight.llm.common import stored
+
+D, NOISE = 16, 64  # NOISE draws are shared by a step
+BITS, POINTS = 21, 0x110001  # of a character (0 ends a word, else code point + 1), and how many there are
 
 
 def ids_of(text: str, index: dict[str, int]) -> np.ndarray:
@@ -19,30 +22,82 @@ def start(v: int, noise: np.ndarray, seed: int) -> list[np.ndarray]:
     return [r.normal(0, 0.1, (v, D)).astype(np.float32), r.normal(0, 0.1, (v, D)).astype(np.float32), np.tile(0.5 * np.eye(D, dtype=np.float32), (2, 1, 1)), np.log(noise).astype(np.float32)]
 
 
+def add(to: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    to += np.bincount((rows[:, None] * D + np.arange(D)).ravel(), x.ravel(), to.size).reshape(to.shape).astype(np.float32)
+
+
 def nce(model, c1, c2, w, noise, cdf, rng, rate: float) -> None:
     """One step over a batch: data against NOISE draws from the unigram distribution."""
     ctx, out, mats, bias = model
-    q = ctx[c1] @ mats[0] + ctx[c2] @ mats[1]
-    k = np.minimum(np.searchsorted(cdf, rng.random((len(w), NOISE))), len(noise) - 1)
-    every = np.concatenate([w[:, None], k], 1)
-    r = out[every]
-    s = np.einsum("nd,nkd->nk", q, r) + bias[every]
-    g = 1 / (1 + np.exp(-np.clip(s - np.log(NOISE * noise[every]), -30, 30)))
-    g[:, 0] -= 1
-    g = (g / np.sqrt(len(w))).astype(np.float32) * rate
-    dq = np.einsum("nk,nkd->nd", g, r)
+    h1, h2 = ctx[c1], ctx[c2]
+    q = h1 @ mats[0] + h2 @ mats[1]
+    k = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), len(noise) - 1)
+    rw, rk = out[w], out[k]
+    sw = np.einsum("nd,nd->n", q, rw) + bias[w] - np.log(NOISE * noise[w])
+    sk = q @ rk.T + bias[k] - np.log(NOISE * noise[k])
+    size = np.float32(rate / np.sqrt(len(w)))
+    gw = (1 / (1 + np.exp(-np.clip(sw, -30, 30))) - 1).astype(np.float32) * size
+    gk = (1 / (1 + np.exp(-np.clip(sk, -30, 30)))).astype(np.float32) * size
+    dq = gw[:, None] * rw + gk @ rk
     d1, d2 = dq @ mats[0].T, dq @ mats[1].T
-    mats[0] -= ctx[c1].T @ dq / np.sqrt(len(w))
-    mats[1] -= ctx[c2].T @ dq / np.sqrt(len(w))
-    np.add.at(out, every.ravel(), -(g[..., None] * q[:, None]).reshape(-1, D))
-    np.add.at(bias, every.ravel(), -g.ravel())
-    np.add.at(ctx, c1, -d1)
-    np.add.at(ctx, c2, -d2)
+    mats[0] -= h1.T @ dq / np.sqrt(len(w))
+    mats[1] -= h2.T @ dq / np.sqrt(len(w))
+    add(out, np.concatenate([w, k]), -np.concatenate([gw[:, None] * q, gk.T @ q]))
+    bias -= np.bincount(np.concatenate([w, k]), np.concatenate([gw, gk.sum(0)]), len(bias)).astype(np.float32)
+    add(ctx, np.concatenate([c1, c2]), -np.concatenate([d1, d2]))
+
+
+def trigrams(words: list[str]) -> np.ndarray:
+    """The character trigrams of each word in turn, begun by two and ended by one 0."""
+    u = np.frombuffer("".join(f"{w}\n" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    c = np.where(u == 10, 0, u + 1)
+    one = np.concatenate([[0], c[:-1]])
+    two = np.where(one == 0, 0, np.concatenate([[0], one[:-1]]))
+    return (two << 2 * BITS) | (one << BITS) | c
+
+
+class Spelling:
+    """p of a word out of the vocabulary by its characters: Witten-Bell trigrams down to all code points alike."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, index: dict[str, int]):
+        order = np.argsort(keys)
+        self.keys, self.n, self.orders, self.taken = keys[order], n[order], [], 0.0
+        for m in (1, 2, 3):
+            k, back = np.unique(self.keys & ((1 << m * BITS) - 1), return_inverse=True)
+            own = np.bincount(back, self.n, len(k))
+            c, at = np.unique(k >> BITS, return_inverse=True)
+            self.orders.append((k, own, c, np.bincount(at, own, len(c)), np.bincount(at, minlength=len(c)).astype(float)))
+        self.log = np.log(self._p(self.keys))
+        # the words of the vocabulary are never spelled: what they would get goes to the others
+        self.taken = float(sum(np.exp(self.log_p([w], free=False)) for w in index))
+
+    def _p(self, keys: np.ndarray) -> np.ndarray:
+        def find(where, x):
+            at = np.minimum(np.searchsorted(where, x), max(0, len(where) - 1))
+            return at, where[at] == x if len(where) else np.zeros(len(x), bool)
+
+        p = np.full(len(keys), 1 / POINTS)
+        for m, (k, own, c, total, kinds) in enumerate(self.orders, 1):
+            if len(k):
+                x = keys & ((1 << m * BITS) - 1)
+                (i, seen), (j, known) = find(k, x), find(c, x >> BITS)
+                p = np.where(known, (np.where(seen, own[i], 0) + kinds[j] * p) / (total[j] + kinds[j]), p)
+        return p
+
+    def log_p(self, words: list[str], free: bool = True) -> float:
+        """The sum over the words."""
+        if not words:
+            return 0.0
+        x = trigrams(words)
+        at = np.minimum(np.searchsorted(self.keys, x), max(0, len(self.keys) - 1))
+        seen = self.keys[at] == x if len(self.keys) else np.zeros(len(x), bool)
+        total = float(self.log[at[seen]].sum()) + (0.0 if seen.all() else float(np.log(self._p(x[~seen])).sum()))
+        return total - (len(words) * np.log1p(-min(self.taken, 0.999)) if free else 0.0)
 
 
 def log_probs(model, c1, c2, w) -> np.ndarray:
     """Normalised log p of each token; matrix products over the distinct contexts give the normalisers."""
-    ctx, out, mats, bias = model
+    ctx, out, mats, bias = model[:4]
     v = len(bias)
     u, back = np.unique(c1 * v + c2, return_inverse=True)
     q, z = ctx[u // v] @ mats[0] + ctx[u % v] @ mats[1], np.empty(len(u), np.float32)
@@ -57,18 +112,32 @@ def log_probs(model, c1, c2, w) -> np.ndarray:
     return lp
 
 
-def train(docs: DataFrame, vocabulary: int = 1024, train_share: float = 0.02, seed: int = 0, rate: float = 0.1):
-    """The word counts cover all texts. Every partition trains a copy from the same start over the tokens of its
-    train_share of documents (by hash), and the copies are averaged by their tokens: what is trained on, and the
-    copies gathered, grow with the input."""
+def train(docs: DataFrame, vocabulary: int = 1024, train_share: float = 1.0, seed: int = 0, rate: float = 0.1):
+    """Word and character counts cover all texts: a word out of the vocabulary is spelled, its trigrams are those of all
+    such words. Every partition trains a copy from the same start over the tokens of its train_share of documents (by
+    hash, all where it is 1), and the copies are averaged by their tokens: what is trained on, and the copies gathered,
+    grow with the input."""
     texts = docs.where("length(text) > 0").select("doc_id", "text")
     words = texts.select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    words = stored(words, "words")
     head = words.orderBy(F.desc("n"), "w").limit(vocabulary - 2).collect()
     every = words.agg(F.sum("n")).first()[0] or 1
     index = {r.w: i + 2 for i, r in enumerate(head)}
     n = np.array([0.5, max(0.5, every - sum(r.n for r in head)), *(r.n for r in head)])
     noise = (n / n.sum()).astype(np.float32)
 
+    def spell(batches):
+        for b in batches:
+            own = [(x, k) for w, k in zip(b.w, b.n) for x in w.split() if x not in index]
+            if own:
+                x = trigrams([w for w, _ in own])
+                key, back = np.unique(x, return_inverse=True)
+                weight = np.repeat(np.array([k for _, k in own], float), [len(w) + 1 for w, _ in own])
+                yield pd.DataFrame({"key": key, "n": np.bincount(back, weight).astype(np.int64)})
+
+    chars = words.mapInPandas(spell, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    spelling = Spelling(chars["key"].to_numpy(np.int64), chars["n"].to_numpy(float), index)
+
     def fit(batches):
         model, rng, cdf, seen = start(len(noise), noise, seed), np.random.default_rng(seed), np.cumsum(noise), 0
         for b in batches:
@@ -92,7 +161,7 @@ def train(docs: DataFrame, vocabulary: int = 1024, train_share: float = 0.02, se
         for i, m in enumerate(model):
             model[i] = flat[at : at + m.size].reshape(m.shape)
             at += m.size
-    return index, model
+    return index, [*model, spelling]
 
 
 def score(docs: DataFrame, **kw) -> DataFrame:
@@ -107,7 +176,8 @@ def score(docs: DataFrame, **kw) -> DataFrame:
             n = np.array([len(t) - 2 for t in x], np.int64)
             lp = log_probs(model, *(np.concatenate([t[i : len(t) - 2 + i] for t in x]) for i in (1, 0, 2))) if len(x) else np.empty(0)
             ends = np.concatenate([[0], np.cumsum(lp)])[np.concatenate([[0], np.cumsum(n)])]
-            s = np.where(n > 0, np.diff(ends), np.nan)
+            spelled = [model[4].log_p([w for w in (t or "").split() if w not in index]) for t in b.text]
+            s = np.where(n > 0, np.diff(ends) + np.array(spelled, float), np.nan)
             yield pd.DataFrame({"doc_id": b.doc_id, "tokens": n, "log_prob": s, "perplexity": np.exp(-s / np.maximum(n, 1))})
 
     out = docs.select("doc_id", "text").mapInPandas(each, "doc_id long, tokens long, log_prob double, perplexity double")

@@ -51,6 +51,19 @@ def test_lm_is_normalised_and_learns(spark):
     assert got > np.log(p[w]).mean()
 
 
+def test_lm_spells_rare_words_and_trains_on_all(spark):
+    x = spark.createDataFrame([(1, "the the the the station nation ration"), (2, "the the the the station nation qxzvkwj")], "doc_id long, text string")
+    a, b = (r.log_prob for r in lm.score(x, vocabulary=3).orderBy("doc_id").collect())
+    assert a > b
+    index, model = lm.train(x.limit(1), vocabulary=3)
+    assert not np.allclose(model[0], lm.start(3, np.full(3, 1 / 3), 0)[0])
+    every = [lm.Spelling(np.array([], np.int64), np.array([]), {}), model[4]]
+    for m in every:
+        p = m._p(np.arange(lm.POINTS, dtype=np.int64))
+        assert abs(p.sum() - 1) < 1e-6 and (p > 0).all()
+    assert index == {"the": 2}
+
+
 def test_mixing_tree():
     leaves = {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100}
     assert mixing.allocate(leaves, 100) == {("a", "x"): 10, ("a", "y"): 40, ("b", "x"): 50}
