@@ -34,6 +34,16 @@ def build(notices: dict[str, str], rate: float):
     return found, forms
 
 
+def spans(form, low: str, a: int, z: int):
+    """The best match, and those of what lies on either side of it."""
+    todo = [(a, z)]
+    while todo:
+        a, z = todo.pop()
+        if a < z and (x := form.search(low, a, z)):
+            yield x
+            todo += [(a, x.start()), (x.end(), z)]
+
+
 def scan_text(text: str, built) -> list[tuple[str, int, int, int]]:
     """(notice, start, end, edits) of the non-overlapping matches; positions are code points of the text."""
     found, forms = built
@@ -54,7 +64,7 @@ def scan_text(text: str, built) -> list[tuple[str, int, int, int]]:
             else:
                 windows.append([a, z])
         for a, z in windows:
-            for x in form.finditer(low, a, min(z, len(low))):
+            for x in spans(form, low, a, min(z, len(low))):
                 out.append((name, x.start(), x.end(), sum(x.fuzzy_counts)))
     return sorted(out)
 

@@ -98,6 +98,13 @@ def test_licenses_brute_force():
     assert text[got[0][1] : got[0][2]] == "All rights reserved"
 
 
+def test_stacked_licenses_are_all_found():
+    built = license_scan.build(license_scan.NOTICES, 0.1)
+    got = license_scan.scan_text("all rights reservd\nall rights reserved\nall rihts reserved", built)
+    assert [x[3] for x in got] == [1, 0, 1] and got[1][1:3] == (19, 38)
+    assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+
+
 def test_bk_tree_brute_force():
     r = np.random.default_rng(0)
     xs = [int(x) for x in r.integers(0, 2**12, 500)]
