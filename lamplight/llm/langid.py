@@ -23,14 +23,12 @@ def rows_of(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_language: int = 1000, min_share: float = 1e-5):
-    """Languages and filter rows, each a bitmask of languages, from per_language documents of each language with the
+    """Languages and filter rows, each with a bitmask for every 64 languages, from per_language documents of each language with the
     least hash at most: their n-grams that make up min_share of a language's or more are set in its slice."""
     some = docs.where("lang IS NOT NULL AND length(text) > 0").select("doc_id", "lang").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     counts = {r.lang: r["count"] for r in some.groupBy("lang").count().collect()}
-    langs = sorted(counts)[:64]
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, per_language / counts[lang]).otherwise(share)
+    langs = sorted(counts)
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, per_language / counts[lang])])[F.col("lang")] if langs else F.lit(0.0)
     picked = docs.where("lang IS NOT NULL AND length(text) > 0").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share).select("lang", "text")
 
     def grams(batches):
@@ -43,10 +41,10 @@ def train(docs: DataFrame, per_language: int = 1000, min_share: float = 1e-5):
     g = picked.mapInPandas(grams, "lang string, a long, b long, c long, n long").groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
     total = g.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = g.join(F.broadcast(total), "lang").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * min_share)).drop("n", "total").toPandas()
-    table = np.zeros(1 << LOG, np.uint64)
-    for i, lang in enumerate(langs):
-        for h in kept.loc[kept.lang == lang, ["a", "b", "c"]].to_numpy().T:
-            table[h] |= np.uint64(1 << i)
+    table, at = np.zeros((-(-len(langs) // 64), 1 << LOG), np.uint64), {lang: i for i, lang in enumerate(langs)}
+    for lang, own in kept.groupby("lang"):
+        for h in own[["a", "b", "c"]].to_numpy().T:
+            table[at[lang] // 64, h] |= np.uint64(1 << at[lang] % 64)
     return langs, table
 
 
@@ -59,7 +57,7 @@ def identify(docs: DataFrame, per_language: int = 1000) -> DataFrame:
 
     def each(batches):
         t = sent.value
-        fp = np.array([float(((t >> np.uint64(i)) & np.uint64(1)).mean()) ** K for i in range(len(langs))])
+        fp = np.array([float(((t[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** K for i in range(len(langs))])
         for b in batches:
             who, share = [], []
             for text in b.text:
@@ -68,9 +66,9 @@ def identify(docs: DataFrame, per_language: int = 1000) -> DataFrame:
                     who.append(None)
                     share.append(None)
                     continue
-                masks = t[x[0]] & t[x[1]] & t[x[2]]
-                hits = np.array([np.count_nonzero(masks & np.uint64(1 << i)) for i in range(len(langs))])
-                s = (hits / len(masks) - fp) / np.maximum(1 - fp, 1e-9)
+                masks = t[:, x[0]] & t[:, x[1]] & t[:, x[2]]
+                hits = np.array([np.count_nonzero(masks[i // 64] & np.uint64(1 << i % 64)) for i in range(len(langs))])
+                s = (hits / masks.shape[1] - fp) / np.maximum(1 - fp, 1e-9)
                 k = int(np.argmax(s))
                 who.append(langs[k] if s[k] > 0 else None)
                 share.append(float(s[k]))

@@ -193,6 +193,13 @@ def test_languages(spark):
     assert np.mean([r.predicted == r.lang for r in rows]) > 0.95
 
 
+def test_more_than_64_languages(spark):
+    r = np.random.default_rng(0)
+    words = {f"l{i:02d}": "".join(chr(0x4E00 + int(c)) for c in r.integers(0, 20_000, 30)) for i in range(70)}
+    x = spark.createDataFrame([(2 * i + k, w, lang) for i, (lang, w) in enumerate(words.items()) for k in (0, 1)], "doc_id long, text string, lang string")
+    assert all(r.predicted == r.lang and r.keep for r in langid.identify(x).collect())
+
+
 def test_top_k_brute_force(spark):
     v = spark.read.parquet(f"{D}/embeddings.parquet")
     rows = v.collect()
