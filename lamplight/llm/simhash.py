@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import math
-import random
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamplight.llm.common import stored
+from lamplight.llm.common import at, forget, pick, plain, small, stored
 
-RADIUS = 12
-JACCARD = 0.5  # of two texts' sets of word pairs, for a pair of codes to count
+RADIUS, BANDS = 12, 5
+JACCARD = 0.6  # of two texts' sets of word pairs, for a pair of codes to count
+SHARD = 4_000_000  # codes in a broadcast
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -35,23 +33,24 @@ def fingerprint(text: str | None) -> int | None:
 
 
 def codes(docs: DataFrame) -> DataFrame:
-    """doc_id, code, node (of the set of word pairs), h (of the text)."""
+    """doc_id, h, code, node (of the set of word pairs) of doc_id, text, h."""
 
     def each(batches):
         for b in batches:
             x = [hashes(t) for t in b.text]
             node = [xxhash.xxh3_64_intdigest(np.unique(h).tobytes()) if len(h) else None for h in x]
             node = [n if n is None or n < 1 << 63 else n - (1 << 64) for n in node]
-            yield pd.DataFrame({"doc_id": b.doc_id, "code": pd.array([signs(h) for h in x], dtype="Int64"), "node": pd.array(node, dtype="Int64"), "h": b.h})
+            yield pd.DataFrame({"doc_id": b.doc_id, "h": b.h, "code": pd.array([signs(h) for h in x], dtype="Int64"), "node": pd.array(node, dtype="Int64")})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInPandas(each, "doc_id long, code long, node long, h long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInPandas(each, f"doc_id {kind}, h long, code long, node long")
 
 
 class BKTree:
     """Children are keyed by their integer Hamming distance to the parent."""
 
     def __init__(self):
-        self.root = None
+        self.root = self.flat = None
 
     def add(self, x: int) -> None:
         if self.root is None:
@@ -67,63 +66,131 @@ class BKTree:
                 return
             at = at[1][d]
 
-    def near(self, x: int, radius: int) -> list[int]:
-        """The codes within the radius; only edges it allows are followed."""
-        out, todo = [], [self.root] if self.root else []
-        while todo:
-            y, below = todo.pop()
-            d = (x ^ y).bit_count()
-            if d <= radius:
-                out.append(y)
-            todo += [c for k, c in below.items() if d - radius <= k <= d + radius]
-        return out
-
-
-def shards(n: int, radius: int = RADIUS) -> list[int]:
-    """Masks of the sampled bits: wide enough for about 64 codes a shard, 12 at least, and as many as keep a
-    pair at the radius together in one of them with probability 0.95."""
-    bits = max(12, math.ceil(math.log2(max(1, n) / 64)))
-    together = math.comb(64 - radius, bits) / math.comb(64, bits)
-    rng = random.Random(7)
-    return [sum(1 << b for b in rng.sample(range(64), bits)) for _ in range(math.ceil(math.log(0.05) / math.log(1 - together)))]
-
-
-def pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a < b: distinct codes within the radius that meet in a shard."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in shards(distinct.count(), radius)]
-    rows = distinct.select("code", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("mask", "part"))
-
-    def search(batches):
-        full, tree, key = (1 << 64) - 1, None, None
-        for b in batches:
-            left, right = [], []
-            for m, p, c in zip(b["mask"].tolist(), b["part"].tolist(), b["code"].tolist()):
-                if (m, p) != key:
-                    key, tree = (m, p), BKTree()
-                for y in tree.near(c & full, radius):
-                    y = y - (1 << 64) if y >> 63 else y
-                    if y != c:
-                        left.append(min(c, y))
-                        right.append(max(c, y))
-                tree.add(c & full)
-            yield pd.DataFrame({"a": pd.Series(left, dtype="int64"), "b": pd.Series(right, dtype="int64")})
-
-    return rows.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInPandas(search, "a long, b long").distinct()
+    def near(self, xs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position in xs, code of the tree) of all within the radius; only edges it allows are followed, those of all
+        of xs at once."""
+        if self.flat is None:
+            nodes, edge, first = [self.root], [0], []
+            for _, below in nodes:  # nodes grows meanwhile
+                first.append(len(nodes))
+                nodes += below.values()
+                edge += below.keys()
+            self.flat = np.array([x for x, _ in nodes], np.uint64), np.array(edge), np.array([*first, len(nodes)])
+        code, edge, first = self.flat
+        who, found = [], []
+        for k in range(0, len(xs), 512):
+            q, at_ = np.arange(k, min(k + 512, len(xs))), np.zeros(min(512, len(xs) - k), np.int64)
+            while len(q):
+                d = np.bitwise_count(xs[q] ^ code[at_]).astype(np.int64)
+                who.append(q[d <= radius])
+                found.append(code[at_[d <= radius]])
+                n = first[at_ + 1] - first[at_]
+                child = np.arange(n.sum()) + np.repeat(first[at_] - np.cumsum(n) + n, n)
+                ok = np.abs(edge[child] - np.repeat(d, n)) <= radius
+                q, at_ = np.repeat(q, n)[ok], child[ok]
+        return (np.concatenate(who), np.concatenate(found)) if who else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def bands(radius: int) -> list[tuple[int, int]]:
+    """(shift, bits) of five bands of a code. Two codes within the radius are within a fifth of it in one of them."""
+    cut = [64 * i // BANDS for i in range(BANDS + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:])]
+
+
+def values(x: np.ndarray, band: int, radius: int) -> np.ndarray:
+    shift, bits = bands(radius)[band]
+    return (x >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+
+
+class ShardTree:
+    """Codes by band: a BK-tree of the values that a band has here, and under each value the codes with it. A band has
+    8192 values at most, so the trees don't grow with the data."""
+
+    def __init__(self, codes_: np.ndarray, radius: int):
+        self.radius, self.bands, self.trees = radius, [], []
+        for k in range(BANDS):
+            v = values(codes_, k, radius)
+            order = np.argsort(v, kind="stable")
+            kinds, begin = np.unique(v[order], return_index=True)
+            tree = BKTree()
+            for x in np.random.default_rng(k).permutation(kinds).tolist():
+                tree.add(x)
+            self.trees.append(tree)
+            self.bands.append((codes_[order], {x: (a, z) for x, a, z in zip(kinds.tolist(), begin.tolist(), [*begin[1:].tolist(), len(v)])}))
+
+    def search(self, band: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (of q, of the codes here) within the radius whose first near band is this one; q has the order of its
+        values. Only values from its own on are searched: a pair is found from its lesser value, or if equal, code."""
+        own, where = self.bands[band]
+        kinds, begin = np.unique(values(q, band, self.radius), return_index=True)
+        who, near = self.trees[band].near(kinds, self.radius // BANDS)
+        who, near = (x[near >= kinds[who]] for x in (who, near))
+        order = np.argsort(who, kind="stable")
+        cut, near, left, right = np.searchsorted(who[order], np.arange(len(kinds) + 1)), near[order].tolist(), [q[:0]], [q[:0]]
+        for t, (a, z) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), len(q)])):
+            if cut[t] == cut[t + 1]:
+                continue
+            c = np.concatenate([own[slice(*where[x])] for x in near[cut[t] : cut[t + 1]]])
+            step = max(1, 2_000_000 // len(c))
+            for k in range(a, z, step):
+                some = q[k : min(z, k + step)]
+                i, j = np.nonzero(np.bitwise_count(some[:, None] ^ c[None, :]) <= self.radius)
+                left.append(some[i])
+                right.append(c[j])
+        a, b = np.concatenate(left), np.concatenate(right)
+        ok = (values(a, band, self.radius) < values(b, band, self.radius)) | (a < b)
+        for k in range(band):
+            ok &= np.bitwise_count(values(a, k, self.radius) ^ values(b, k, self.radius)) > self.radius // BANDS
+        return a[ok], b[ok]
+
+
+def pairs(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """a < b: all pairs of distinct codes within the radius. The codes are cut by hash into as many shards as hold about
+    shard codes each; each shard's trees are built from a broadcast of its codes, 8 bytes each, and every code is looked
+    up in every shard. Nothing is left out at any size."""
+    spark, n = distinct.sparkSession, distinct.count()
+    parts = max(1, -(-n // shard))
+    at_ = [F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << b) - 1)) for a, b in bands(radius)]
+    rows = distinct.select("code", F.posexplode(F.array(*at_)).alias("band", "value"))
+    ordered = rows.repartition("band", "value").sortWithinPartitions("band", "value", "code")
+    if parts > 1:
+        ordered = stored(ordered, "looked-up")  # every shard reads it again
+    out = None
+    for k in range(parts):
+        own = distinct.where(F.pmod(F.xxhash64("code"), F.lit(parts)) == k).toPandas()["code"].to_numpy(np.int64)
+        sent = spark.sparkContext.broadcast(np.sort(own).view(np.uint64))
+
+        def search(batches, sent=sent):
+            tree = None
+            for b in batches:
+                tree = tree or ShardTree(sent.value, radius)
+                code, band = b["code"].to_numpy(np.int64).view(np.uint64), b["band"].to_numpy()
+                found = [tree.search(int(k), code[band == k]) for k in np.unique(band)]
+                x, y = (np.concatenate([f[i] for f in found]).view(np.int64) if found else np.empty(0, np.int64) for i in (0, 1))
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+        got = ordered.mapInPandas(search, "a long, b long")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """code, root: the least code that paths reach. Alternates large-star and small-star steps, each stored."""
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        new = stored(small, "edges")
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
+        star = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
+        new = stored(star, "edges")
+        forget(e)
+        # the same edges as before: two sums over two hashes of each tell
+        now = new.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(k), "u", "v").cast("decimal(38,0)")) for k in (0, 1)]).first()
+        if now == seen:
             return new.select(F.col("u").alias("code"), F.col("v").alias("root"))
-        e = new
+        e, seen = new, now
 
 
 def verified(candidates: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
@@ -145,8 +212,9 @@ def verified(candidates: DataFrame, sets: DataFrame, jaccard: float) -> DataFram
 
 
 def linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, jaccard: float) -> DataFrame:
-    """node, root over the verified pairs among nodes whose codes are the same or near. First the least node of each
-    code stands for it; of the rest, only pairs that this left apart are compared, so no pair that could join is left out."""
+    """node, root over the verified pairs among nodes (code, node, h) whose codes are the same or near. First the least
+    node of each code stands for it; of the rest, only pairs that this left apart are compared, so no pair that could
+    join is left out. docs has text and h."""
     codes_ = nodes.groupBy("code").agg(F.min("node").alias("least"), F.count("*").alias("n"))
     busy = near.select(F.explode(F.array("a", "b")).alias("code")).unionByName(codes_.where("n > 1").select("code")).distinct()
     some = stored(nodes.join(busy, "code", "left_semi"), "nodes")
@@ -155,8 +223,9 @@ def linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, jaccard: float) -
         for b in batches:
             yield pd.DataFrame({"node": b.node, "pairs": [np.unique(hashes(t)).tobytes() for t in b.text]})
 
-    first = some.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("node", "x.*")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(first, ["doc_id", "h"]).select("node", "text")
+    # only texts that have a partner are read for their word pairs
+    first = some.groupBy("node").agg(F.min("h").alias("h"))
+    texts = docs.join(small(first), "h").select("node", "text")
     sets = stored(texts.mapInPandas(pairs_of, "node long, pairs binary").dropDuplicates(["node"]), "pairs")
 
     def ordered(x: DataFrame) -> DataFrame:
@@ -165,36 +234,55 @@ def linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, jaccard: float) -
     stars = some.join(codes_, "code").select(F.col("node").alias("x"), F.col("least").alias("y"))
     across = near.join(codes_.select(F.col("code").alias("a"), F.col("least").alias("x")), "a").join(codes_.select(F.col("code").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
     roots = stored(components(verified(ordered(stars.unionByName(across)), sets, jaccard)), "roots")
-    at = stored(some.join(roots.withColumnRenamed("code", "node"), "node", "left").select("code", "node", F.coalesce("root", "node").alias("root")), "at")
-    span = at.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    at_ = stored(some.join(roots.withColumnRenamed("code", "node"), "node", "left").select("code", "node", F.coalesce("root", "node").alias("root")), "at")
+    span = at_.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     left, right = (span.select(F.col("code").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in "ab")
     apart = near.join(left, "a").join(right, "b").where("least(lo_a, lo_b) < greatest(hi_a, hi_b)").select("a", "b")
     apart = apart.unionByName(span.where("lo < hi").select(F.col("code").alias("a"), F.col("code").alias("b")))
-    left, right = (at.select(F.col("code").alias(k), F.col("node").alias(n), F.col("root").alias(f"root_{k}")) for k, n in (("a", "x"), ("b", "y")))
+    left, right = (at_.select(F.col("code").alias(k), F.col("node").alias(n), F.col("root").alias(f"root_{k}")) for k, n in (("a", "x"), ("b", "y")))
     rest = ordered(apart.join(left, "a").join(right, "b").where("root_a <> root_b"))
     more = stored(verified(rest, sets, jaccard), "edges")
     if not more.isEmpty():
-        roots = components(more.unionByName(roots.select(F.col("code").alias("a"), F.col("root").alias("b"))))
+        roots = stored(components(more.unionByName(roots.select(F.col("code").alias("a"), F.col("root").alias("b")))), "roots")
+    forget(some, sets, more, at_)
     return roots.withColumnRenamed("code", "node")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD) -> DataFrame:
-    """doc_id, group_id (the least doc_id of its group), keep. Groups are joined by pairs whose codes are within the
-    radius and whose sets of word pairs have the Jaccard similarity. Documents without words, null texts included,
-    stand alone; rows with one doc_id are one document; those with a null doc_id are left out."""
-    docs = docs.where("doc_id IS NOT NULL")
-    one = F.min(F.when(F.col("code").isNotNull(), F.struct("code", "node", "h"))).alias("x")
-    own = stored(stored(codes(docs), "codes").groupBy("doc_id").agg(one).select("doc_id", "x.*"), "codes")
-    nodes = stored(own.where("code IS NOT NULL").groupBy("code", "node").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("code", "node", "x.*"), "nodes")
+def grouped(docs: DataFrame, radius: int, jaccard: float) -> DataFrame:
+    """doc_id, h (of the text), n (rows alike in both), group_id, first: whether the group's first document is it."""
+    rows = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    coded = stored(codes(rows), "codes")
+    own = coded.groupBy("doc_id", "h").agg(F.min("code").alias("code"), F.min("node").alias("node"), F.count("*").alias("n"))
+    nodes = stored(coded.where("code IS NOT NULL").groupBy("code", "node").agg(F.min("h").alias("h")), "nodes")
     near = stored(pairs(nodes.select("code").distinct(), radius), "near")
-    roots = linked(docs, nodes, near, jaccard)
-    grouped = own.where("code IS NOT NULL").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    first = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"))
-    out = grouped.join(first, "root").select("doc_id", "group_id").unionByName(own.where("code IS NULL").select("doc_id", F.col("doc_id").alias("group_id")))
-    return out.withColumn("keep", F.col("doc_id") == F.col("group_id"))
+    roots = linked(rows.select("text", "h"), nodes, near, jaccard)
+    at_ = own.where("code IS NOT NULL").join(roots, "node", "left").select("doc_id", "h", "n", F.coalesce("root", "node").alias("root"))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("lead")
+    out = at_.join(at_.groupBy("root").agg(lead), "root")
+    out = out.select("doc_id", "h", "n", F.col("lead.doc_id").alias("group_id"), (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("h") == F.col("lead.h"))).alias("first"), F.lit(True).alias("words"))
+    alone = own.where("code IS NULL").select("doc_id", "h", "n", F.col("doc_id").alias("group_id"), F.lit(True).alias("first"), F.lit(False).alias("words"))
+    return stored(out.unionByName(alone), "groups")
 
 
-def kept(docs: DataFrame) -> DataFrame:
-    """Without the documents that a group has besides its first; null doc_ids stay."""
-    drop = near_duplicates(docs).where("NOT keep").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD) -> DataFrame:
+    """doc_id, group_id (the least doc_id of its group, null if none has one), keep; a row for each row. Groups are
+    joined by pairs whose codes are within the radius and whose sets of word pairs have the Jaccard similarity. Of each
+    group, one row is kept: that with the least doc_id, nulls last, and of rows with one doc_id, that with the least
+    hash of its text. Rows without words, null and empty texts included, are no duplicates of anything and stay."""
+    own = grouped(docs, radius, jaccard).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return own.select("doc_id", "group_id", (F.col("first") & ((F.col("copy") == 1) | ~F.col("words"))).alias("keep"))
+
+
+def kept(docs: DataFrame, radius: int = RADIUS, jaccard: float = JACCARD) -> DataFrame:
+    """The rows that near_duplicates keeps. The texts of other rows aren't moved where the list of the dropped is short
+    enough to be sent to the executors."""
+    own = grouped(docs, radius, jaccard)
+    key = F.xxhash64("doc_id", "h", F.col("doc_id").isNull()).alias("lost")
+    rows, doc_id, text = plain(docs), at(docs, "doc_id"), at(docs, "text")
+    rows = rows.withColumn("lost", F.xxhash64(doc_id, F.xxhash64(text), F.col(doc_id).isNull()))
+    out = rows.join(small(own.where("NOT first").select(key)), "lost", "left_anti")
+    many = own.where("first AND words AND n > 1").select(key)
+    if not many.isEmpty():  # rows alike in id and text: one of them stays
+        many = small(many)
+        out = out.join(many, "lost", "left_anti").unionByName(out.join(many, "lost", "left_semi").dropDuplicates(["lost"]))
+    return out.drop("lost").toDF(*docs.columns)
