@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lamplight.llm import decontaminate, langid, license_scan, lm, mixing, quality, secrets, simhash, topk, urls
 from lamplight.llm.common import table
 
@@ -17,6 +16,5 @@ QUERIES = {
     "op8_language_id": lambda s, d: langid.identify(table(s, d, "documents")),
     "op9_exact_top_k": lambda s, d: topk.top_k(table(s, d, "embeddings")),
     "op10_quality_classifier": lambda s, d: quality.quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
-    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.SQL}
