@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 1_000_000  # of a few numbers each, in a table that is sent to every executor
@@ -66,3 +68,22 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint, if it has so few rows; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def released(work):
+    """work for mapInPandas, after which a task gives the memory that it no longer uses back to the machine; Python
+    workers live on and would hold it."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
