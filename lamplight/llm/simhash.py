@@ -7,7 +7,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lamplight.llm.common import at, forget, pick, plain, small, stored
+from lamplight.llm.common import at, forget, pick, plain, released, small, stored
 
 RADIUS, BANDS = 12, 5
 JACCARD = 0.6  # of two texts' sets of word pairs, for a pair of codes to count
@@ -43,7 +43,7 @@ def codes(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": b.doc_id, "h": b.h, "code": pd.array([signs(h) for h in x], dtype="Int64"), "node": pd.array(node, dtype="Int64")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(each, f"doc_id {kind}, h long, code long, node long")
+    return docs.mapInPandas(released(each), f"doc_id {kind}, h long, code long, node long")
 
 
 class BKTree:
@@ -169,7 +169,7 @@ def pairs(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
                 x, y = (np.concatenate([f[i] for f in found]).view(np.int64) if found else np.empty(0, np.int64) for i in (0, 1))
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-        got = ordered.mapInPandas(search, "a long, b long")
+        got = ordered.mapInPandas(released(search), "a long, b long")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -208,13 +208,13 @@ def verified(candidates: DataFrame, sets: DataFrame, jaccard: float) -> DataFram
             yield b.loc[ok, ["a", "b"]]
 
     x, y = (sets.select(F.col("node").alias(k), F.col("pairs").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(released(check), "a long, b long")
 
 
 def linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, jaccard: float) -> DataFrame:
-    """node, root over the verified pairs among nodes (code, node, h) whose codes are the same or near. First the least
-    node of each code stands for it; of the rest, only pairs that this left apart are compared, so no pair that could
-    join is left out. docs has text and h."""
+    """node, root over the verified pairs among nodes (code, node, h) whose codes are the same or near. docs has text and
+    h. Pairs that are linked by others needn't be compared: first each node is compared with the least node of its code,
+    and that one with those of the least and of the nearest code near it; then all pairs that this left apart."""
     codes_ = nodes.groupBy("code").agg(F.min("node").alias("least"), F.count("*").alias("n"))
     busy = near.select(F.explode(F.array("a", "b")).alias("code")).unionByName(codes_.where("n > 1").select("code")).distinct()
     some = stored(nodes.join(busy, "code", "left_semi"), "nodes")
@@ -226,13 +226,17 @@ def linked(docs: DataFrame, nodes: DataFrame, near: DataFrame, jaccard: float) -
     # only texts that have a partner are read for their word pairs
     first = some.groupBy("node").agg(F.min("h").alias("h"))
     texts = docs.join(small(first), "h").select("node", "text")
-    sets = stored(texts.mapInPandas(pairs_of, "node long, pairs binary").dropDuplicates(["node"]), "pairs")
+    sets = stored(texts.mapInPandas(released(pairs_of), "node long, pairs binary").dropDuplicates(["node"]), "pairs")
 
     def ordered(x: DataFrame) -> DataFrame:
         return x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
-    stars = some.join(codes_, "code").select(F.col("node").alias("x"), F.col("least").alias("y"))
-    across = near.join(codes_.select(F.col("code").alias("a"), F.col("least").alias("x")), "a").join(codes_.select(F.col("code").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partners = both.groupBy(F.col("a").alias("code")).agg(F.min("b").alias("p"), F.min_by("b", F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), "b")).alias("q"))
+    partners = partners.select("code", F.explode(F.array_distinct(F.array("p", "q"))).alias("other"))
+    least = codes_.select("code", "least")
+    stars = some.join(least, "code").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    across = partners.join(least.withColumnRenamed("least", "x"), "code").join(least.select(F.col("code").alias("other"), F.col("least").alias("y")), "other").select("x", "y")
     roots = stored(components(verified(ordered(stars.unionByName(across)), sets, jaccard)), "roots")
     at_ = stored(some.join(roots.withColumnRenamed("code", "node"), "node", "left").select("code", "node", F.coalesce("root", "node").alias("root")), "at")
     span = at_.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
