@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lamplight.llm.common import stored
+from lamplight.llm.common import forget, pick, stored
 
-D, NOISE = 16, 64  # NOISE draws are shared by a step
+D, NOISE, BATCH = 24, 32, 1024  # NOISE draws are shared by a step over BATCH tokens
+TOGETHER = 64  # copies of the model that are averaged in one place
+MODEL = "copy long, tokens long, model binary"
 BITS, POINTS = 21, 0x110001  # of a character (0 ends a word, else code point + 1), and how many there are
 
 
@@ -22,29 +27,49 @@ def start(v: int, noise: np.ndarray, seed: int) -> list[np.ndarray]:
     return [r.normal(0, 0.1, (v, D)).astype(np.float32), r.normal(0, 0.1, (v, D)).astype(np.float32), np.tile(0.5 * np.eye(D, dtype=np.float32), (2, 1, 1)), np.log(noise).astype(np.float32)]
 
 
-def add(to: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
-    to += np.bincount((rows[:, None] * D + np.arange(D)).ravel(), x.ravel(), to.size).reshape(to.shape).astype(np.float32)
+def shaped(flat: np.ndarray, v: int) -> list[np.ndarray]:
+    """The parts of a model that was laid out flat."""
+    out, at_ = [], 0
+    for shape in ((v, D), (v, D), (2, D, D), (v,)):
+        n = int(np.prod(shape))
+        out.append(flat[at_ : at_ + n].reshape(shape))
+        at_ += n
+    return out
+
+
+class Steps:
+    """The model in training. Each parameter's steps shrink with the gradients it has had (Adagrad)."""
+
+    def __init__(self, model: list[np.ndarray], rate: float):
+        self.model, self.rate, self.past = model, rate, [np.full(m.shape, 1e-2, np.float32) for m in model]
+
+    def take(self, part: int, gradient: np.ndarray) -> None:
+        self.past[part] += gradient * gradient
+        self.model[part] -= self.rate * gradient / np.sqrt(self.past[part])
 
 
-def nce(model, c1, c2, w, noise, cdf, rng, rate: float) -> None:
+def summed(rows: np.ndarray, x: np.ndarray, v: int) -> np.ndarray:
+    """The rows of x, added up by where they go."""
+    return np.bincount((rows[:, None] * D + np.arange(D)).ravel(), x.ravel(), v * D).reshape(v, D).astype(np.float32)
+
+
+def nce(steps: Steps, c1, c2, w, noise, cdf, rng) -> None:
     """One step over a batch: data against NOISE draws from the unigram distribution."""
-    ctx, out, mats, bias = model
-    h1, h2 = ctx[c1], ctx[c2]
+    ctx, out, mats, bias = steps.model
+    v, h1, h2 = len(bias), ctx[c1], ctx[c2]
     q = h1 @ mats[0] + h2 @ mats[1]
     k = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), len(noise) - 1)
     rw, rk = out[w], out[k]
     sw = np.einsum("nd,nd->n", q, rw) + bias[w] - np.log(NOISE * noise[w])
     sk = q @ rk.T + bias[k] - np.log(NOISE * noise[k])
-    size = np.float32(rate / np.sqrt(len(w)))
-    gw = (1 / (1 + np.exp(-np.clip(sw, -30, 30))) - 1).astype(np.float32) * size
-    gk = (1 / (1 + np.exp(-np.clip(sk, -30, 30)))).astype(np.float32) * size
+    gw = ((1 / (1 + np.exp(-np.clip(sw, -30, 30))) - 1) / len(w)).astype(np.float32)
+    gk = ((1 / (1 + np.exp(-np.clip(sk, -30, 30)))) / len(w)).astype(np.float32)
     dq = gw[:, None] * rw + gk @ rk
     d1, d2 = dq @ mats[0].T, dq @ mats[1].T
-    mats[0] -= h1.T @ dq / np.sqrt(len(w))
-    mats[1] -= h2.T @ dq / np.sqrt(len(w))
-    add(out, np.concatenate([w, k]), -np.concatenate([gw[:, None] * q, gk.T @ q]))
-    bias -= np.bincount(np.concatenate([w, k]), np.concatenate([gw, gk.sum(0)]), len(bias)).astype(np.float32)
-    add(ctx, np.concatenate([c1, c2]), -np.concatenate([d1, d2]))
+    steps.take(2, np.stack([h1.T @ dq, h2.T @ dq]))
+    steps.take(1, summed(np.concatenate([w, k]), np.concatenate([gw[:, None] * q, gk.T @ q]), v))
+    steps.take(3, np.bincount(np.concatenate([w, k]), np.concatenate([gw, gk.sum(0)]), v).astype(np.float32))
+    steps.take(0, summed(np.concatenate([c1, c2]), np.concatenate([d1, d2]), v))
 
 
 def trigrams(words: list[str]) -> np.ndarray:
@@ -112,23 +137,30 @@ def log_probs(model, c1, c2, w) -> np.ndarray:
     return lp
 
 
-def train(docs: DataFrame, vocabulary: int = 1024, train_share: float = 1.0, seed: int = 0, rate: float = 0.1):
-    """Word and character counts cover all texts: a word out of the vocabulary is spelled, its trigrams are those of all
-    such words. Every partition trains a copy from the same start over the tokens of its train_share of documents (by
-    hash, all where it is 1), and the copies are averaged by their tokens: what is trained on, and the copies gathered,
-    grow with the input."""
-    texts = docs.where("length(text) > 0").select("doc_id", "text")
-    words = texts.select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    words = stored(words, "words")
+def train(docs: DataFrame, vocabulary: int = 1024, rounds: int = 3, copy_tokens: int = 4_000_000, seed: int = 0, rate: float = 0.2):
+    """The index of the vocabulary and the model, trained on every token of every text. Words and characters are counted
+    over all texts: a word out of the vocabulary is spelled, by the trigrams of all such words. The texts are cut by a
+    hash into rounds, each of them into copies of about copy_tokens; in a round every copy starts from the model so far,
+    takes its texts in the order of their hashes, and the copies are averaged by their tokens. So the model depends on
+    the texts alone, not on how they are partitioned, and no step of it grows but the number of copies."""
+    spark = docs.sparkSession
+    texts = pick(docs, "text").where("length(text) > 0").select("text", F.xxhash64(F.lit(seed), "text").alias("h"))
+
+    def count(batches):
+        for b in batches:
+            n = Counter(w for t in b.text for w in t.split())
+            yield pd.DataFrame({"w": list(n), "n": list(n.values())})
+
+    words = stored(texts.select("text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     head = words.orderBy(F.desc("n"), "w").limit(vocabulary - 2).collect()
-    every = words.agg(F.sum("n")).first()[0] or 1
+    every = words.agg(F.sum("n")).first()[0] or 0
     index = {r.w: i + 2 for i, r in enumerate(head)}
     n = np.array([0.5, max(0.5, every - sum(r.n for r in head)), *(r.n for r in head)])
     noise = (n / n.sum()).astype(np.float32)
 
     def spell(batches):
         for b in batches:
-            own = [(x, k) for w, k in zip(b.w, b.n) for x in w.split() if x not in index]
+            own = [(w, k) for w, k in zip(b.w, b.n) if w not in index]
             if own:
                 x = trigrams([w for w, _ in own])
                 key, back = np.unique(x, return_inverse=True)
@@ -137,37 +169,55 @@ def train(docs: DataFrame, vocabulary: int = 1024, train_share: float = 1.0, see
 
     chars = words.mapInPandas(spell, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     spelling = Spelling(chars["key"].to_numpy(np.int64), chars["n"].to_numpy(float), index)
+    forget(words)
+    copies = max(1, -(-every // (rounds * copy_tokens)))
 
-    def fit(batches):
-        model, rng, cdf, seen = start(len(noise), noise, seed), np.random.default_rng(seed), np.cumsum(noise), 0
+    def number(batches):
         for b in batches:
-            x = [ids_of(t, index) for t in b.text]
-            for t in x:
-                for k in range(0, len(t) - 2, 512):
-                    w = t[k + 2 : k + 514]
-                    nce(model, t[k + 1 : k + 1 + len(w)], t[k : k + len(w)], w, noise, cdf, rng, rate)
-                    seen += len(w)
-        if seen:
-            yield pd.DataFrame({"tokens": [seen], "model": [np.concatenate([m.ravel() for m in model]).astype(np.float32).tobytes()]})
-
-    some = texts.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(train_share * 1e6))
+            yield pd.DataFrame({"round": b["round"], "copy": b["copy"], "h": b.h, "ids": [zstandard.compress(ids_of(t, index).astype(np.int32).tobytes(), 1) for t in b.text]})
+
+    place = F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(rounds * copies))
+    numbered = stored(texts.select((place % rounds).cast("int").alias("round"), F.floor(place / rounds).alias("copy"), "h", "text").mapInPandas(number, "round int, copy long, h long, ids binary"), "numbered")
+    flat = np.concatenate([m.ravel() for m in start(len(noise), noise, seed)]).astype(np.float32)
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(flat)
+
+        def fit(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+            steps, rng, cdf = Steps(shaped(sent.value.copy(), len(noise)), rate), np.random.default_rng([seed, *map(int, key)]), np.cumsum(noise)
+            own = b.sort_values(["h", "ids"]).ids
+            x = np.concatenate([np.frombuffer(zstandard.decompress(t), np.int32) for t in own]).astype(np.int64)
+            w = np.flatnonzero(x > 0)  # a text begins with two zeros
+            for i in range(0, len(w), BATCH):
+                at_ = w[i : i + BATCH]
+                nce(steps, x[at_ - 1], x[at_ - 2], x[at_], noise, cdf, rng)
+            return pd.DataFrame({"copy": [int(key[0])], "tokens": [len(w)], "model": [np.concatenate([m.ravel() for m in steps.model]).astype(np.float32).tobytes()]})
+
+        fitted, left = numbered.where(F.col("round") == k).groupBy("copy").applyInPandas(fit, MODEL), copies
+        while left > TOGETHER:  # averaged in the executors until few are left
+            left = -(-left // TOGETHER)
+            fitted = fitted.groupBy(F.floor(F.col("copy") / TOGETHER).alias("group")).applyInPandas(averaged, MODEL)
+        rows = averaged((0,), fitted.toPandas())
+        if rows.tokens[0]:
+            flat = np.frombuffer(rows.model[0], np.float32)
+    forget(numbered)
+    return index, [*shaped(flat, len(noise)), spelling]
+
+
+def averaged(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+    """One model of several, weighted by their tokens."""
     total, flat = 0, 0.0
-    for r in some.mapInPandas(fit, "tokens long, model binary").toLocalIterator():
-        total += r.tokens
-        flat = flat + r.tokens * np.frombuffer(r.model, np.float32).astype(np.float64)
-    model, at = start(len(noise), noise, seed), 0
-    if total:
-        flat = (flat / total).astype(np.float32)
-        for i, m in enumerate(model):
-            model[i] = flat[at : at + m.size].reshape(m.shape)
-            at += m.size
-    return index, [*model, spelling]
+    for n, raw in b.sort_values("copy")[["tokens", "model"]].itertuples(index=False):
+        total += n
+        flat = flat + n * np.frombuffer(raw, np.float32).astype(np.float64)
+    return pd.DataFrame({"copy": [int(key[0])], "tokens": [total], "model": [(flat / total).astype(np.float32).tobytes() if total else b""]})
 
 
 def score(docs: DataFrame, **kw) -> DataFrame:
-    """doc_id, tokens, log_prob (the sum), perplexity. A text without words, or null, has 0 tokens and nulls."""
+    """doc_id, perplexity, log_prob (the sum), tokens; a row for each row, null ids and repeated rows included. A text
+    without words, or null, has 0 tokens and nulls; so has every text of a table without words. A token is a word, at
+    white space of any kind; equal texts have equal scores, and whole texts are scored."""
     index, model = train(docs, **kw)
-    sent = docs.sparkSession.sparkContext.broadcast((index, model))
+    sent, rows = docs.sparkSession.sparkContext.broadcast((index, model)), pick(docs, "doc_id", "text")
 
     def each(batches):
         index, model = sent.value
@@ -178,7 +228,7 @@ def score(docs: DataFrame, **kw) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(lp)])[np.concatenate([[0], np.cumsum(n)])]
             spelled = [model[4].log_p([w for w in (t or "").split() if w not in index]) for t in b.text]
             s = np.where(n > 0, np.diff(ends) + np.array(spelled, float), np.nan)
-            yield pd.DataFrame({"doc_id": b.doc_id, "tokens": n, "log_prob": s, "perplexity": np.exp(-s / np.maximum(n, 1))})
+            yield pd.DataFrame({"doc_id": b.doc_id, "perplexity": np.exp(np.minimum(-s / np.maximum(n, 1), 700)), "log_prob": s, "tokens": n})
 
-    out = docs.select("doc_id", "text").mapInPandas(each, "doc_id long, tokens long, log_prob double, perplexity double")
-    return out.select("doc_id", "tokens", *[F.when(F.col("tokens") > 0, F.col(c)).alias(c) for c in ("log_prob", "perplexity")])
+    out = rows.mapInPandas(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, perplexity double, log_prob double, tokens long")
+    return out.select("doc_id", *[F.when(F.col("tokens") > 0, F.col(c)).alias(c) for c in ("perplexity", "log_prob")], "tokens")
