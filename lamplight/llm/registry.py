@@ -17,4 +17,4 @@ QUERIES = {
     "op9_exact_top_k": lambda s, d: topk.top_k(table(s, d, "embeddings")),
     "op10_quality_classifier": lambda s, d: quality.quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.SQL, "op9_exact_top_k": topk.SQL}
