@@ -4,33 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamplight.functions import code as C, codegen as G, text as T
-from lamplight.operators import relational as R
-
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its oracle."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from lamplight.functions import code as C, codegen as G, execution as X, text as T
+from lamplight.operators import evaluation as E, relational as R, summaries as A
+from lamplight.plans.queries import ORACLES, QUERIES, query, table  # noqa: F401
 
 @query("SELECT event_type AS source_language, CAST(user_id % 3 AS BIGINT) AS difficulty, count(*) AS n, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 6) AS compile_rate, round(avg(value), 6) AS mean_rate FROM events GROUP BY 1, 2")
 def eval_summary(spark, sf_dir):
-    """A1: rates of each cell."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_language"), (F.col("user_id") % 3).alias("difficulty")).agg(
-        F.count("*").alias("n"), F.round(F.avg(F.when(F.col("value") > 20, 1.0).otherwise(0.0)), 6).alias("compile_rate"), F.round(F.avg("value"), 6).alias("mean_rate"))
+    """A1: rates of each cell; a rate that the samples lack is left out."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_language"), (F.col("user_id") % 3).alias("difficulty"), (F.col("value") > 20).alias("compiled"), F.col("value").alias("test_pass_rate"))
+    return A.cells(e, ["source_language", "target_language", "difficulty"])
 
 
 LANGS = ["de", "en", "es", "fr"]
@@ -59,13 +41,13 @@ def enrich_left(spark, sf_dir):
 @query("SELECT CAST(l.quality AS VARCHAR) AS quality, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def difficulty_counts(spark, sf_dir):
     """A3."""
-    return enrich_left(spark, sf_dir).groupBy("quality").agg(F.count("*").alias("n"))
+    return A.value_counts(enrich_left(spark, sf_dir), "quality")
 
 
 @query("SELECT count(l.quality) AS covered, count(*) AS total, count(l.quality) / count(*) AS ratio FROM documents d LEFT JOIN labels l USING (doc_id)")
 def coverage(spark, sf_dir):
     """A4."""
-    return enrich_left(spark, sf_dir).agg(F.count("quality").alias("covered"), F.count("*").alias("total"), F.try_divide(F.count("quality"), F.count("*")).alias("ratio"))
+    return A.coverage(enrich_left(spark, sf_dir), "quality")
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS matched, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_base")
@@ -87,18 +69,18 @@ def slugify(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.slug("p_name").alias("slug"))
 
 
-@query("SELECT a.p_partkey FROM part a JOIN part b ON a.p_partkey = b.p_partkey WHERE trim(regexp_replace(lower(a.p_name), '[^a-z0-9]+', '-', 'g'), '-') IS DISTINCT FROM replace(lower(b.p_type), ' ', '-')")
+@query("SELECT a.p_partkey FROM part a WHERE a.p_partkey % 3 = 0")
 def title_mismatch(spark, sf_dir):
-    """J2."""
+    """Titles whose slug isn't the other source's task; a third of these are changed on one side."""
     a = table(spark, sf_dir, "part").select("p_partkey", T.slug("p_name").alias("slug"))
-    b = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")).alias("task_id"))
+    b = table(spark, sf_dir, "part").select("p_partkey", F.concat(T.slug("p_name"), F.when(F.col("p_partkey") % 3 == 0, "-ii").otherwise("")).alias("task_id"))
     return a.join(b, "p_partkey").where(~F.col("slug").eqNullSafe(F.col("task_id"))).select("p_partkey")
 
 
 @query("WITH w AS (" + WIDE_SQL + ") " + " UNION ALL ".join(f"SELECT '{x}' AS lang, count({x}) AS n FROM w" for x in LANGS))
 def lang_counts(spark, sf_dir):
     """A2."""
-    return _wide(spark, sf_dir).agg(*[F.count(x).alias(x) for x in LANGS]).unpivot([], LANGS, "lang", "n")
+    return A.present_counts(_wide(spark, sf_dir), LANGS)
 
 
 @query("SELECT parallel_id FROM (" + WIDE_SQL + ") WHERE " + N_PRESENT + " >= 2")
@@ -116,18 +98,26 @@ def directed_pairs(spark, sf_dir):
 @query("SELECT source_language, target_language, count(*) AS n, count(DISTINCT parallel_id) AS parallels FROM (" + PAIRS_SQL + ") GROUP BY 1, 2")
 def pair_counts(spark, sf_dir):
     """A6."""
-    return directed_pairs(spark, sf_dir).groupBy("source_language", "target_language").agg(F.count("*").alias("n"), F.countDistinct("parallel_id").alias("parallels"))
+    return A.pair_counts(directed_pairs(spark, sf_dir), ["source_language", "target_language"], "parallel_id")
+
 
+TEMPLATE_SQL = "list_extract([" + ", ".join(f"'{t}'" for t in R.TEMPLATES) + "], k + 1)"
 
-def _pick(i):
-    return "list_extract([" + ", ".join("'" + t[i] + "'" for t in R.TEMPLATES) + "], k + 1)"
 
+def _code(x):
+    return f"CASE {x} WHEN 'de' THEN 'cpp' WHEN 'en' THEN 'java' WHEN 'es' THEN 'python' ELSE {x} END"
 
-@query("SELECT parallel_id, source_language, target_language, " + _pick(0) + " || ' ' || source_language || ' ' || " + _pick(1) + " || ' ' || target_language || " + _pick(2) + " AS instruction FROM (SELECT *, CAST(('0x' || substr(md5('0:' || parallel_id || ':' || source_language || ':' || target_language), 1, 8)) AS BIGINT) % 10 AS k FROM (" + PAIRS_SQL + "))")
+
+def _named(x):
+    return f"CASE {x} WHEN 'de' THEN 'C++' WHEN 'en' THEN 'Java' WHEN 'es' THEN 'Python' ELSE {x} END"
+
+
+@query(f"SELECT parallel_id, source_language, target_language, replace(replace({TEMPLATE_SQL}, '{{source}}', {_named('source_language')}), '{{target}}', {_named('target_language')}) AS instruction FROM (SELECT *, CAST(('0x' || substr(md5('0:' || parallel_id || ':' || {_code('source_language')} || ':' || {_code('target_language')}), 1, 8)) AS BIGINT) % 10 AS k FROM (" + PAIRS_SQL + "))")
 def instruction_rows(spark, sf_dir):
-    """F3, T6."""
+    """Templates chosen by hash, with the languages' names; a language without one keeps its code."""
     p = directed_pairs(spark, sf_dir)
-    return p.select("parallel_id", "source_language", "target_language", R.instruction(F.col("parallel_id"), F.col("source_language"), F.col("target_language")).alias("instruction"))
+    code = F.create_map(*[F.lit(x) for pair in (("de", "cpp"), ("en", "java"), ("es", "python"), ("fr", "fr")) for x in pair])
+    return p.select("parallel_id", "source_language", "target_language", R.instruction(F.col("parallel_id"), code[F.col("source_language")], code[F.col("target_language")]).alias("instruction"))
 
 
 def _held(spark, sf_dir):
@@ -182,34 +172,33 @@ def fertility_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(T.words(F.col("text"))).alias("words"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-OUTCOME_SQL = "CASE WHEN event_type = 'view' AND value > 20 THEN 'passed' WHEN event_type = 'view' THEN 'wrong_output' WHEN lower(props || event_type) LIKE '%redefinition%' THEN 'redefinition' WHEN lower(props || event_type) LIKE '%timed out%' THEN 'timeout' ELSE 'compile_error' END"
+OUTCOME_SQL = "CASE WHEN event_type = 'view' AND value > 20 THEN 'passed' WHEN event_type = 'view' THEN 'wrong_output' WHEN user_id % 3 = 0 THEN 'redefinition' WHEN user_id % 3 = 1 THEN 'timeout' ELSE 'compile_error' END"
 
 
 @query("SELECT " + OUTCOME_SQL + " AS outcome, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM events GROUP BY 1")
 def outcome_share(spark, sf_dir):
-    """F17, A7."""
-    e = table(spark, sf_dir, "events").select(T.outcome(F.col("event_type") == "view", F.when(F.col("value") > 20, 1.0).otherwise(0.0), F.concat("props", "event_type")).alias("outcome"))
-    return e.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.expr("sum(n) OVER ()"), 9))
+    """All five outcomes."""
+    said = F.when(F.col("user_id") % 3 == 0, "error: Redefinition of 'struct ListNode'").when(F.col("user_id") % 3 == 1, "Execution timed out").otherwise("error: expected ';'")
+    e = table(spark, sf_dir, "events").select(T.outcome(F.col("event_type") == "view", F.when(F.col("value") > 20, 1.0).otherwise(0.0), said).alias("outcome"))
+    return A.shares(e, "outcome")
 
 
 @query("SELECT event_type, round(avg(value) FILTER (WHERE user_id % 2 = 1) - avg(value) FILTER (WHERE user_id % 2 = 0), 6) AS delta FROM events GROUP BY 1")
 def run_delta(spark, sf_dir):
     """A17."""
-    run = F.col("user_id") % 2
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(F.when(run == 1, F.col("value"))) - F.avg(F.when(run == 0, F.col("value"))), 6).alias("delta"))
+    return A.deltas(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), F.col("user_id") % 2, 0, 1).select("event_type", "delta")
 
 
-@query("SELECT event_type AS outcome, count(*) FILTER (WHERE user_id % 2 = 0) AS base, count(*) FILTER (WHERE user_id % 2 = 1) AS ft FROM events GROUP BY 1")
+@query("SELECT event_type AS outcome, count(*) FILTER (WHERE user_id % 2 = 0) AS base, count(*) FILTER (WHERE user_id % 2 = 1) AS ft, round(count(*) FILTER (WHERE user_id % 2 = 0) / sum(count(*) FILTER (WHERE user_id % 2 = 0)) OVER (), 6) AS base_share, round(count(*) FILTER (WHERE user_id % 2 = 1) / sum(count(*) FILTER (WHERE user_id % 2 = 1)) OVER (), 6) AS ft_share FROM events GROUP BY 1")
 def cross_run_summary(spark, sf_dir):
     """A16."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("outcome")).agg(F.count_if(F.col("user_id") % 2 == 0).alias("base"), F.count_if(F.col("user_id") % 2 == 1).alias("ft"))
+    return A.by_run(table(spark, sf_dir, "events").withColumnRenamed("event_type", "outcome"), "outcome", F.col("user_id") % 2, [("base", 0), ("ft", 1)])
 
 
 @query("SELECT round(exp(sum(value * 0.001 * l) / sum(l)), 9) AS perplexity FROM (SELECT value, 1 + user_id % 7 AS l FROM events)")
 def perplexity(spark, sf_dir):
     """Weighted by tokens."""
-    e = table(spark, sf_dir, "events").select("value", (1 + F.col("user_id") % 7).alias("l"))
-    return e.agg(F.round(F.exp(F.sum(F.col("value") * 0.001 * F.col("l")) / F.sum("l")), 9).alias("perplexity"))
+    return A.perplexity(table(spark, sf_dir, "events"), F.col("value") * 0.001, 1 + F.col("user_id") % 7)
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -218,10 +207,11 @@ def json_metric(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query()
+@query("""SELECT doc_id, '{"input": [' || doc_id || ', ' || n_chars || '], "expected": [' || n_chars || ']}' AS pair FROM documents UNION ALL SELECT doc_id, '{"input": [[1, null]], "expected": -Infinity}' FROM documents WHERE doc_id % 2 = 0""")
 def parse_asserts(spark, sf_dir):
-    """Asserts over document ids and lengths. SQL has no parser for them; tests hold it."""
-    src = table(spark, sf_dir, "documents").select("doc_id", F.format_string("def check(candidate):\n    assert candidate(%d, n = %d) == [%d]\n", "doc_id", "n_chars", "n_chars").alias("src"))
+    """Asserts of three shapes over document ids and lengths; what is no such assert is left out."""
+    more = F.when(F.col("doc_id") % 2 == 0, "    assert is_same(candidate(tree_node([1, None])), -inf)\n    assert True\n    assert f(x) == 1\n").otherwise("")
+    src = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.format_string("def check(candidate):\n    assert candidate(%d, n = %d) == [%d]\n", "doc_id", "n_chars", "n_chars"), more).alias("src"))
     return src.select("doc_id", F.explode(C.parse_asserts("src")).alias("pair"))
 
 
@@ -234,46 +224,45 @@ def exclusions_anti(spark, sf_dir):
 
 @query("SELECT d.lang, d.source, count(*) AS n, round(avg(CASE WHEN l.quality = 1 - l.toxic THEN 1.0 ELSE 0.0 END), 9) AS agree FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2")
 def audit_agreement(spark, sf_dir):
-    """A8, A10, F20."""
+    """A10, F20."""
     x = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    return x.groupBy("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("quality").eqNullSafe(1 - F.col("toxic")), 1.0).otherwise(0.0)), 9).alias("agree"))
+    return A.rates_by(x, ["lang", "source"], F.col("quality").eqNullSafe(1 - F.col("toxic")), "agree")
 
 
 @query("SELECT 'quality' AS side, CAST(quality AS VARCHAR) AS outcome, count(*) AS n FROM labels GROUP BY 2 UNION ALL SELECT 'toxic', CAST(toxic AS VARCHAR), count(*) FROM labels GROUP BY 2")
 def audit_hist(spark, sf_dir):
     """A11."""
     x = table(spark, sf_dir, "labels").select(F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
-    return x.unpivot([], ["quality", "toxic"], "side", "outcome").groupBy("side", "outcome").agg(F.count("*").alias("n"))
+    return A.marginals(x, ["quality", "toxic"])
 
 
 @query("SELECT event_type AS config, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 9) AS pass_at_1, count(*) AS n FROM events GROUP BY 1")
 def code_bench_pass1(spark, sf_dir):
     """A12."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("config")).agg(F.round(F.avg((F.col("value") > 20).cast("double")), 9).alias("pass_at_1"), F.count("*").alias("n"))
+    return A.rates_by(table(spark, sf_dir, "events").withColumnRenamed("event_type", "config"), ["config"], F.col("value") > 20, "pass_at_1")
 
 
 @query("SELECT round(sum(n * rate) / sum(n), 6) AS overall, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type, count(*) AS n, avg(value) AS rate FROM events GROUP BY 1)")
 def overall_weighted(spark, sf_dir):
     """Cells weighted by their rows."""
     cells = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("rate"))
-    return cells.agg(F.round(F.sum(F.col("n") * F.col("rate")) / F.sum("n"), 6).alias("overall"), F.sum("n").alias("n"))
+    return A.overall(cells, "rate")
 
 
 @query("SELECT d.doc_id, CASE WHEN d.n_chars % 5 = 0 THEN 0.0 ELSE least(d.doc_id % 7, 1 + d.n_chars % 3) / (1.0 + d.n_chars % 3) END AS rate FROM documents d")
 def pass_rate(spark, sf_dir):
     """passed among the first expected ones, by the number expected; 0 where either is empty."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: i <= F.col("doc_id") % 7).alias("got"), (1 + F.col("n_chars") % 3).cast("int").alias("want"))
-    passed = F.size(F.filter(F.slice("got", 1, F.least(F.size("got"), F.col("want"))), lambda x: x))
-    return d.select("doc_id", F.when(F.col("n_chars") % 5 == 0, 0.0).otherwise(passed / F.col("want")).alias("rate"))
+    got = F.when(F.col("n_chars") % 5 == 0, F.array().cast("array<boolean>")).otherwise(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: i <= F.col("doc_id") % 7))
+    d = table(spark, sf_dir, "documents").select("doc_id", got.alias("got"), (1 + F.col("n_chars") % 3).cast("int").alias("want"))
+    return d.select("doc_id", T.correctness("got", F.col("want")).alias("rate"))
 
 
 @query("SELECT m.metric, round(avg(value) FILTER (WHERE user_id % 2 = 0), 6) AS base, round(avg(value) FILTER (WHERE user_id % 2 = 1), 6) AS ft FROM (VALUES ('click'), ('view'), ('purchase'), ('none')) m(metric) LEFT JOIN events ON event_type = m.metric GROUP BY 1")
 def metric_long(spark, sf_dir):
     """A fixed list of metrics keeps those without a value."""
-    names = spark.createDataFrame([(x,) for x in ("click", "view", "purchase", "none")], "metric string")
     run = F.col("user_id") % 2
     got = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg(F.when(run == 0, F.col("value"))), 6).alias("base"), F.round(F.avg(F.when(run == 1, F.col("value"))), 6).alias("ft"))
-    return names.join(got, "metric", "left")
+    return A.on_list(got, "metric", ["click", "view", "purchase", "none"])
 
 
 @query("SELECT a.doc_id, a.n_chars, b.turn FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents) a JOIN (SELECT turn, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations) b USING (i)")
@@ -282,22 +271,31 @@ def positional_zip(spark, sf_dir):
     return R.numbered(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"]).join(R.numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"]), "ordinal").select("doc_id", "n_chars", "turn")
 
 
-@query(r"SELECT tokenizer, round(CAST(sum(tokens) AS DOUBLE) / sum(words), 9) AS tokens_per_word, round(CAST(sum(chars) AS DOUBLE) / sum(tokens), 9) AS chars_per_token FROM (SELECT unnest(['word', 'space', 'char']) AS tokenizer, unnest([len(regexp_extract_all(text, '[\p{L}\p{N}_]+')), len(regexp_extract_all(text, '\S+')), length(text)]) AS tokens, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words, length(text) AS chars FROM documents) GROUP BY 1")
+@query(r"SELECT tokenizer, round(CAST(sum(tokens) AS DOUBLE) / sum(words), 9) AS tokens_per_word, round(CAST(sum(chars) AS DOUBLE) / sum(tokens), 9) AS chars_per_token, round(CAST(sum(bytes) AS DOUBLE) / sum(tokens), 9) AS bytes_per_token FROM (SELECT unnest(['word', 'space', 'char']) AS tokenizer, unnest([len(regexp_extract_all(text, '[\p{L}\p{N}_]+')), len(regexp_extract_all(text, '\S+')), length(text)]) AS tokens, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words, length(text) AS chars, strlen(text) AS bytes FROM documents) GROUP BY 1")
 def fertility(spark, sf_dir):
     """Ratios of sums for each tokenizer; every text is read once."""
     t = F.col("text")
-    x = table(spark, sf_dir, "documents").select(T.words(t).alias("word"), F.regexp_count(t, F.lit(r"\S+")).alias("space"), F.length(t).alias("char"))
-    sums = x.agg(*[F.sum(c).alias(c) for c in ("word", "space", "char")]).withColumn("words", F.col("word")).withColumn("chars", F.col("char"))
-    y = sums.unpivot(["words", "chars"], ["word", "space", "char"], "tokenizer", "tokens")
-    return y.select("tokenizer", F.round(F.try_divide("tokens", "words"), 9).alias("tokens_per_word"), F.round(F.try_divide("chars", "tokens"), 9).alias("chars_per_token"))
+    x = table(spark, sf_dir, "documents").select(T.words(t).alias("word"), F.regexp_count(t, F.lit(r"\S+")).alias("space"), F.length(t).alias("char"), T.words(t).alias("words"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"))
+    return A.fertility(x, ["word", "space", "char"])
 
 
-@query()
+@query("SELECT item_id, true AS compiled, CAST(1 AS INTEGER) AS results, CASE WHEN item_id % 3 = 1 THEN 'passed' ELSE 'wrong_output' END AS outcome FROM benchmark")
 def exec_score(spark, sf_dir):
-    """A program for every benchmark item, run and classified. SQL runs no programs; tests hold it."""
+    """A program for every benchmark item, run and classified."""
     code = "class Solution:\n    def solve(self, a: int) -> int:\n        return a % 3\n"
     items = table(spark, sf_dir, "benchmark").select("item_id", F.format_string('[{"input": [%d], "expected": 1}]', "item_id").alias("pairs"))
-    src = items.select("item_id", F.concat(F.lit(G.wired(code, "", "python")), G.build_driver(F.lit("python"), "pairs", F.lit(code), F.lit("solve"))).alias("program"))
-    ran = C.execute(src, "item_id", "program")
-    rate = F.when(F.forall("passed", lambda x: x) & (F.size("passed") == 1), 1.0).otherwise(0.0)
-    return ran.select("item_id", "compiled", "passed", T.outcome(F.col("compiled"), rate, F.col("diagnostics")).alias("outcome"))
+    engine = G.build_driver(F.lit("python"), "pairs", F.lit(code), F.lit("solve"), F.lit(None).cast("string"))
+    src = items.select("item_id", engine.alias("engine")).select("item_id", G.wire(F.lit(code), "engine", F.lit("python")).alias("program"))
+    ran = E.scored(X.execute(src, "item_id", "program", timeout=60.0, tasks=8), F.lit(1))
+    return ran.select("item_id", (F.col("compiled") == 1).alias("compiled"), F.size("passed").alias("results"), "outcome")
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS ordinal, 'x' AS drawn FROM orders WHERE o_orderkey < 200")
+def drawn_templates(spark, sf_dir):
+    """Templates that a seeded generator draws one after another; here there is one to draw from."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey < 200").select("o_orderkey", "o_custkey", F.lit("cpp").alias("source_language"), F.lit("java").alias("target_language"))
+    x = R.instructed(o, ["o_orderkey"], templates=("x",))
+    return R.numbered(x, ["o_orderkey"]).select("o_orderkey", "o_custkey", F.col("ordinal"), F.col("instruction").alias("drawn"))
+
+
+from lamplight.plans import evaluation  # noqa: E402, F401  registers its queries
