@@ -1,8 +1,13 @@
+import json
+import random
+import time
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from lamplight.functions import code, text
+from lamplight.functions import code, execution, signatures, text
 from lamplight.operators import relational as R
 from lamplight.plans import catalogue
 from lamplight.sources import files, sinks
@@ -13,7 +18,7 @@ D = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "part", "orders", "events", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "documents", "labels", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     want = con.sql(catalogue.ORACLES[name])
     got = catalogue.QUERIES[name](spark, D)
@@ -36,15 +41,55 @@ def test_assertions():
 
 def test_hints():
     src = "class Solution:\n    def f(self, a: Optional[ListNode], b: List[int] = 0) -> TreeNode | None:\n        pass"
-    h, r = code.hints(src, "Solution().f")
-    assert [code.kind_of(x) for x in h] == ["list_node", "plain"] and code.kind_of(r) == "tree_node"
+    h, r = signatures.hints(src, "Solution().f")
+    assert [signatures.kind_of(x) for x in h] == ["list_node", "plain"] and signatures.kind_of(r) == "tree_node"
+    assert h == ["Optional[ListNode]", "List[int]"] and signatures.hints("def (", "f") == signatures.hints(None, None) == signatures.hints("x = 1", "f") == ([], "")
+    assert signatures.hints("def solve(a, *b, c: 'int'): ...", None) == (["", "'int'"], "")
+    assert signatures.cpp_type("Optional[List[List[int]]]", [[2**40]]) == "std::vector<std::vector<long long>>" and signatures.cpp_type("None | str") == "std::string"
+    assert signatures.cpp_type("", 2.5, of_value=lambda v: "double") == "double" and signatures.cpp_type("what(") == "int"
+    assert signatures.java_parameters("int f(final Map<String, List<Integer>> m, int... xs) {}", "f") == ["Map<String,List<Integer>>", "int[]"]
+    assert signatures.java_parameters("int f() {}", "f") == [] and signatures.java_parameters("int g(int a) {}", "f") is None
+    assert [signatures.widened(t) for t in ("int", "int[][]", "List<List<Integer>>", "String", "Map<Integer,Integer>")] == ["long", "long[][]", "List<List<Long>>", "String", "Map<Integer,Integer>"]
+    assert [signatures.java_class(x) for x in ("class A {} public final class B {}", "class A {}", "interface I {}", None)] == ["B", "A", "Main", "Main"]
 
 
 def test_execution(spark):
-    df = spark.createDataFrame([(1, "print('OK')\nprint('FAIL')"), (2, "x ="), (3, "import sys; sys.exit(3)"), (4, "while True: pass")], "k long, s string")
-    got = {r.k: r for r in code.execute(df, "k", "s", timeout=2).collect()}
-    assert got[1].passed == [True, False] and got[2].compiled and not got[2].passed
-    assert not got[3].compiled and got[4].diagnostics == "timed out"
+    df = spark.createDataFrame([("a", "print('OK')\nprint('FAIL')"), ("b", "x ="), ("c", "import sys; sys.exit(3)"), ("d", "while True: pass"), ("e", None)], "k string, s string")
+    got = {r.k: r for r in execution.execute(df, "k", "s", timeout=2).collect()}
+    assert got["a"].passed == [True, False] and got["b"].compiled and not got["b"].passed and got["e"].compiled
+    assert not got["c"].compiled and got["d"].diagnostics == "Execution timed out"
+    assert execution.first_failure(df, "k", "s", timeout=2)["k"] == "a"
+    assert execution.first_failure(df.limit(0), "k", "s") is None
+    with pytest.raises(ValueError):
+        execution.run("x", "sql")
+
+
+def test_what_a_program_leaves_behind_holds_nothing():
+    began = time.monotonic()
+    r = execution.run("import subprocess, sys\nsubprocess.Popen(['sleep', '60'])\nprint('OK')", timeout=20)
+    assert r["passed"] == [True] and time.monotonic() - began < 15
+    r = execution.run("import subprocess, time\nsubprocess.Popen(['sleep', '60'])\ntime.sleep(60)", timeout=1)
+    assert r["diagnostics"] == "Execution timed out" and time.monotonic() - began < 30
+    r = execution.run("print('OK\\n' * 10**6)", timeout=20)
+    assert r["compiled"] and 0 < len(r["passed"]) < 10**6  # no more than KEPT bytes are read
+
+
+def test_self_checks(spark):
+    df = spark.createDataFrame([(1, "assert 1 == 1"), (2, "assert 1 == 2"), (3, "while True: pass")], "k long, s string")
+    got = {r.k: r for r in execution.self_check(df, "k", "s", "python", timeout=2).collect()}
+    assert [got[k].passed for k in (1, 2, 3)] == [True, False, False] and got[3].compiled and "AssertionError" in got[2].diagnostics
+    if execution.available("java"):
+        java = "public class Named { public static void main(String[] a) { assert %s; } }"
+        assert [execution.check(java % x, "java", 60)["passed"] for x in ("true", "false")] == [True, False]
+        assert not execution.check("class {", "java")["compiled"]
+    assert execution.check("assert 1 == 1", "python", prefix=["env", "X=1"])["passed"]
+
+
+@pytest.mark.parametrize("lang, good, bad", [("cpp", "#include <cassert>\nint main() { assert(1 == 1); }", "int main() {"), ("rust", "fn main() { assert_eq!(1, 1); }", "fn main() {"), ("go", 'package p\nimport "testing"\nfunc TestA(t *testing.T) {}\n', "package p\nfunc {")])
+def test_self_checks_of_compilers_that_work(lang, good, bad):
+    if not execution.available(lang) or not execution.check(good, lang, 120)["compiled"]:
+        pytest.skip(f"no working compiler of {lang}")
+    assert execution.check(good, lang, 120)["passed"] and not execution.check(bad, lang, 120)["compiled"]
 
 
 def test_exact_split(spark):
@@ -52,6 +97,25 @@ def test_exact_split(spark):
     assert {r.k for r in R.split_keys(df, "k", 0.3, 0, exact=True).collect()} == {8, 9, 2}
     a, b = (R.split_keys(df, "k", 0.3, s) for s in (0, 0))
     assert a.exceptAll(b).count() == 0 and a.count() == 3
+    assert R.split_keys(df.limit(0), "k").count() == 0 and R.split_keys(df, "k", 5.0).count() == 10
+
+
+def test_plans_that_hold_at_scale(spark):
+    """No task sorts all kept keys, and no stratum or group is sorted with its texts."""
+    df = spark.range(5000).selectExpr("id AS k", "id % 7 AS s", "repeat('x', 50) AS text")
+    held = R.split_keys(df, "k", 0.3)
+    plan = held._jdf.queryExecution().toString()
+    assert held.count() == 1500 and "limit=1500" not in plan.replace(" ", "") and "Window" not in R.first_of(df, ["text"], "k")._jdf.queryExecution().toString()
+    got = R.stratified(df, ["s"], "k", 100).groupBy("s").count().collect()
+    assert sum(r["count"] for r in got) == 100 and min(r["count"] for r in got) >= 100 // 7
+    assert R.stratified(df.limit(3), ["s"], "k", 100).count() == 3
+
+
+def test_templates_are_drawn_in_order(spark):
+    df = spark.range(40).selectExpr("id AS k", "'cpp' AS source_language", "'java' AS target_language").repartition(3)
+    r = random.Random(3)
+    want = [R.TEMPLATES[r.randrange(10)].format(source="C++", target="Java") for _ in range(40)]
+    assert [x.instruction for x in R.instructed(df, ["k"], 3).orderBy("k").collect()] == want
 
 
 def test_text(spark):
@@ -63,14 +127,33 @@ def test_sources(spark, tmp_path):
     (at := tmp_path / "1. Two Sum").mkdir()
     (at / "1.py").write_bytes(b"a\r\nb")
     (at / "1.cpp").write_text("c")
-    (row,) = files.solution_tree(spark, str(tmp_path)).collect()
-    assert (row.parallel_id, row.title, row.python, row.cpp, row.java) == (1, "Two Sum", "a\nb", "c", None)
+    (at / "01.java").write_text("not this one")
+    (tmp_path / "2. Empty").mkdir()
+    (tmp_path / "other").mkdir()
+    rows = {r.parallel_id: r for r in files.solution_tree(spark, str(tmp_path)).collect()}
+    assert set(rows) == {1, 2} and rows[2].python is None
+    assert (rows[1].title, rows[1].python, rows[1].cpp, rows[1].java) == ("Two Sum", "a\nb", "c", None)
     (p := tmp_path / "g.json").write_text('[["x"], ["y", "z"]]')
     assert [tuple(r) for r in files.generations(spark, str(p)).collect()] == [(0, "x"), (1, "y")]
-    assert files.exclusions(spark, str(tmp_path / "none")).count() == 0
+    assert files.exclusions(spark, str(tmp_path / "none")).count() == files.exclusions(spark, f"file://{tmp_path}/none").count() == 0
+    (tmp_path / "x.json").write_text('[{"parallel_id": 3, "target_language": "cpp", "outcome": "o"}]')
+    assert files.exclusions(spark, f"file://{tmp_path}/x.json").first().parallel_id == 3
     old = spark.createDataFrame([(1, "a")], "k long, v string")
     assert sinks.merged(old, spark.createDataFrame([(1, "b"), (2, "c")], "k long, v string"), ["k"]).count() == 2
     assert sinks.markdown(old).splitlines()[2] == "| 1 | a |"
+    assert json.loads(sinks.json_text(old, ["k"])) == [{"k": 1, "v": "a"}] and json.loads(sinks.json_text(old.limit(0), ["k"])) == []
+    (tmp_path / "run" / "b").mkdir(parents=True)
+    for name in ("results_1.json", "results_3.json", "results_2.json"):
+        (tmp_path / "run" / "b" / name).write_text('{"results": {"mmlu": {"acc,none": 0.5}}}')
+    newest = files.newest(spark, f"{tmp_path}/run/*/results*.json")
+    assert newest.endswith("results_3.json") and files.newest(spark, f"{tmp_path}/none*") is None
+    assert files.documents(spark, newest).select(text.nested(F.col("document"), "results", "mmlu", "acc,none")).first()[0] == 0.5
+    with pytest.raises(FileNotFoundError, match="make it"):
+        files.required(spark, str(tmp_path / "none"), "make it")
+    with pytest.raises(ValueError, match="has no column"):
+        files.texts(spark, [f"{D}/nation.parquet"], "x")
+    with pytest.raises(ValueError, match="no language"):
+        files.benchmark_rows(old, "set-xyz")
 
 
 def test_exec_score(spark):
@@ -87,3 +170,40 @@ def test_stream(spark, tmp_path):
     scoring.to_parquet(scoring.summary(s, ["target"]), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).drop("epoch")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in scoring.summary(x, ["target"]).collect()}
+
+
+def test_windowed_stream(spark, tmp_path):
+    from lamplight.streaming import scoring
+
+    x = spark.createDataFrame([("a", "2024-01-01 00:10:00", 1.0, 1.0), ("a", "2024-01-01 00:50:00", 0.0, 0.0), ("a", "2024-01-01 01:10:00", 1.0, 0.5)], "target string, at string, compiled double, test_pass_rate double").selectExpr("target", "CAST(at AS TIMESTAMP) AS ts", "compiled", "test_pass_rate")
+    x.write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(x.schema).parquet(str(tmp_path / "in"))
+    scoring.to_parquet(scoring.summary(s, ["target"], "1 hour"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("hour(window.start) AS h", "n", "compiled").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 2, 0.5), (1, 1, 1.0)]
+
+
+def test_missing_libraries_are_errors(monkeypatch):
+    """Only a missing subpackage leaves its queries out; what the subpackage itself lacks is told."""
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+
+    def without(name, *args, **kw):
+        if name in lost:
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        return real(name, *args, **kw)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    for lost, error in ((("corpus_pipeline",), False), (("ahocorasick",), True)):
+        for m in [m for m in sys.modules if m.startswith("lamplight.llm") or m in ("corpus_pipeline", "__spark_entry__", "ahocorasick")]:
+            monkeypatch.delitem(sys.modules, m)
+        if error and not importlib.util.find_spec("lamplight.llm"):
+            continue
+        if error:
+            with pytest.raises(ModuleNotFoundError, match="ahocorasick"):
+                importlib.import_module("__spark_entry__")
+        else:
+            assert set(importlib.import_module("__spark_entry__").queries()) == set(catalogue.QUERIES)
