@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lamplight.functions import codegen as G, execution as X, signatures as S, text as T
-from lamplight.functions.codegen import go_imports as specs_of, java_typed, literal, merged_imports, nullable
+from lamplight.functions.codegen import benchmark_program, go_imports as specs_of, java_typed, literal, merged_imports, nullable
 from lamplight.operators import evaluation as E, relational as R, summaries as A
 from lamplight.plans.queries import query, scratch, table
 from lamplight.sources import files, sinks
@@ -276,6 +276,23 @@ def secondary_projection(spark, sf_dir):
     return files.projected(table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"])
 
 
+NL = "' || chr(10) || '"
+PARTS = {"cpp": ("int f() {", "int g() { return %d; }", "}\nint main() {}"), "java": ("import java.util.*;\nclass Task {", "class A { int g() { return %d; } }", "}\nvoid main() {}\n}"), "go": ('package p\nimport "testing"', 'package q\nimport "fmt"\nfunc g() int { return %d }', "func TestG() {}")}
+WHOLE = {"cpp": "int f() {\n return %d; \n}\nint main() {}", "java": "import java.util.*;\nclass Task {\nint g() { return %d; }\nvoid main() {}\n}\n", "go": 'package p\n\nimport (\n\t"testing"\n\t"fmt"\n)\n\nfunc g() int { return %d }\nfunc TestG() {}\n'}
+
+
+@query("SELECT item_id, CASE item_id % 3 " + " ".join(f"WHEN {k} THEN replace('" + x.replace("\n", NL).replace("\t", "' || chr(9) || '") + "', '%d', CAST(item_id AS VARCHAR))" for k, x in enumerate(WHOLE.values())) + " END AS program FROM benchmark")
+def benchmark_programs(spark, sf_dir):
+    """Prompt, whole answer and tests made one program."""
+
+    @F.pandas_udf("string")
+    def assembled(lang: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([benchmark_program(PARTS[la][0], PARTS[la][1] % k, PARTS[la][2], la) for la, k in zip(lang, n)])
+
+    lang = F.element_at(F.array(*map(F.lit, PARTS)), (F.col("item_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select("item_id", assembled(lang, "item_id").alias("program"))
+
+
 # -- programs ----------------------------------------------------------------------
 
 SOLVED = {
