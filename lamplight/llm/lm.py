@@ -9,9 +9,10 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lamplight.llm.common import forget, pick, stored
+from lamplight.llm.common import forget, pick, released, stored
 
 D, NOISE, BATCH = 24, 32, 1024  # NOISE draws are shared by a step over BATCH tokens
+TEXTS = 2500  # that are counted or scored at a time
 TOGETHER = 64  # copies of the model that are averaged in one place
 MODEL = "copy long, tokens long, model binary"
 BITS, POINTS = 21, 0x110001  # of a character (0 ends a word, else code point + 1), and how many there are
@@ -148,10 +149,11 @@ def train(docs: DataFrame, vocabulary: int = 1024, rounds: int = 3, copy_tokens:
 
     def count(batches):
         for b in batches:
-            n = Counter(w for t in b.text for w in t.split())
-            yield pd.DataFrame({"w": list(n), "n": list(n.values())})
+            for k in range(0, len(b), TEXTS):
+                n = Counter(w for t in b.text.iloc[k : k + TEXTS] for w in t.split())
+                yield pd.DataFrame({"w": list(n), "n": list(n.values())})
 
-    words = stored(texts.select("text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    words = stored(texts.select("text").mapInPandas(released(count), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     head = words.orderBy(F.desc("n"), "w").limit(vocabulary - 2).collect()
     every = words.agg(F.sum("n")).first()[0] or 0
     index = {r.w: i + 2 for i, r in enumerate(head)}
@@ -167,7 +169,7 @@ def train(docs: DataFrame, vocabulary: int = 1024, rounds: int = 3, copy_tokens:
                 weight = np.repeat(np.array([k for _, k in own], float), [len(w) + 1 for w, _ in own])
                 yield pd.DataFrame({"key": key, "n": np.bincount(back, weight).astype(np.int64)})
 
-    chars = words.mapInPandas(spell, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    chars = words.mapInPandas(released(spell), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     spelling = Spelling(chars["key"].to_numpy(np.int64), chars["n"].to_numpy(float), index)
     forget(words)
     copies = max(1, -(-every // (rounds * copy_tokens)))
@@ -177,7 +179,7 @@ def train(docs: DataFrame, vocabulary: int = 1024, rounds: int = 3, copy_tokens:
             yield pd.DataFrame({"round": b["round"], "copy": b["copy"], "h": b.h, "ids": [zstandard.compress(ids_of(t, index).astype(np.int32).tobytes(), 1) for t in b.text]})
 
     place = F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(rounds * copies))
-    numbered = stored(texts.select((place % rounds).cast("int").alias("round"), F.floor(place / rounds).alias("copy"), "h", "text").mapInPandas(number, "round int, copy long, h long, ids binary"), "numbered")
+    numbered = stored(texts.select((place % rounds).cast("int").alias("round"), F.floor(place / rounds).alias("copy"), "h", "text").mapInPandas(released(number), "round int, copy long, h long, ids binary"), "numbered")
     flat = np.concatenate([m.ravel() for m in start(len(noise), noise, seed)]).astype(np.float32)
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
@@ -221,14 +223,14 @@ def score(docs: DataFrame, **kw) -> DataFrame:
 
     def each(batches):
         index, model = sent.value
-        for b in batches:
+        for b in (whole.iloc[k : k + TEXTS] for whole in batches for k in range(0, len(whole), TEXTS)):
             x = [ids_of(t or "", index) for t in b.text]
             n = np.array([len(t) - 2 for t in x], np.int64)
             lp = log_probs(model, *(np.concatenate([t[i : len(t) - 2 + i] for t in x]) for i in (1, 0, 2))) if len(x) else np.empty(0)
             ends = np.concatenate([[0], np.cumsum(lp)])[np.concatenate([[0], np.cumsum(n)])]
             spelled = [model[4].log_p([w for w in (t or "").split() if w not in index]) for t in b.text]
             s = np.where(n > 0, np.diff(ends) + np.array(spelled, float), np.nan)
-            yield pd.DataFrame({"doc_id": b.doc_id, "perplexity": np.exp(np.minimum(-s / np.maximum(n, 1), 700)), "log_prob": s, "tokens": n})
+            yield pd.DataFrame({"doc_id": b.doc_id.array, "perplexity": np.exp(np.minimum(-s / np.maximum(n, 1), 700)), "log_prob": s, "tokens": n})
 
-    out = rows.mapInPandas(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, perplexity double, log_prob double, tokens long")
+    out = rows.mapInPandas(released(each), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, perplexity double, log_prob double, tokens long")
     return out.select("doc_id", *[F.when(F.col("tokens") > 0, F.col(c)).alias(c) for c in ("perplexity", "log_prob")], "tokens")
