@@ -12,6 +12,7 @@ from lamplight.llm.common import at, forget, pick, plain, released, small, store
 RADIUS, BANDS = 12, 5
 JACCARD = 0.6  # of two texts' sets of word pairs, for a pair of codes to count
 SHARD = 4_000_000  # codes in a broadcast
+TILE = 1 << 16  # codes compared at a time: as many as stay in a core's cache
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -131,12 +132,12 @@ class ShardTree:
             if cut[t] == cut[t + 1]:
                 continue
             c = np.concatenate([own[slice(*where[x])] for x in near[cut[t] : cut[t + 1]]])
-            step = max(1, 2_000_000 // len(c))
+            step = max(1, TILE // len(c))
             for k in range(a, z, step):
                 some = q[k : min(z, k + step)]
-                i, j = np.nonzero(np.bitwise_count(some[:, None] ^ c[None, :]) <= self.radius)
-                left.append(some[i])
-                right.append(c[j])
+                hit = np.flatnonzero(np.bitwise_count(some[:, None] ^ c[None, :]) <= self.radius)
+                left.append(some[hit // len(c)])
+                right.append(c[hit % len(c)])
         a, b = np.concatenate(left), np.concatenate(right)
         ok = (values(a, band, self.radius) < values(b, band, self.radius)) | (a < b)
         for k in range(band):
