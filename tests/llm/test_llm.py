@@ -429,22 +429,41 @@ def test_m_tree_against_all_distances(monkeypatch):
 
 
 @pytest.mark.parametrize("cell", [topk.CELL, 60])
-def test_top_k_against_sql(spark, monkeypatch, cell):
+@pytest.mark.parametrize("every", [topk.EVERY, 1])
+def test_top_k_against_sql(spark, monkeypatch, cell, every):
     monkeypatch.setattr(topk, "CELL", cell)
+    monkeypatch.setattr(topk, "TREE", 2 * cell)
+    monkeypatch.setattr(topk, "SENT", 64 * 400)
     with duckdb.connect() as db:
-        want = db.sql(topk.SQL.replace("FROM embeddings", f"FROM '{D}/embeddings.parquet'")).df()
-    got = topk.top_k(spark.read.parquet(f"{D}/embeddings.parquet")).toPandas()
+        want = db.sql(topk.SQL.replace("FROM embeddings", f"FROM '{D}/embeddings.parquet'").replace("% 50", f"% {every}")).df()
+    got = topk.top_k(spark.read.parquet(f"{D}/embeddings.parquet"), every=every).toPandas()
     names = ["vec_id", "rank", "neighbour", "distance"]
     assert sorted(got[names].itertuples(index=False, name=None)) == sorted(want[names].itertuples(index=False, name=None))
 
 
 def test_odd_vectors(spark):
     some = spark.createDataFrame([(1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, None), (None, [1.0, 1.0]), (4, []), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    got = topk.top_k(some, 1).collect()
+    got = topk.top_k(some, 1, every=1).collect()
     assert {(r.vec_id, r.neighbour, r["rank"]) for r in got} == {(1, 2, 1), (2, 1, 1), (7, 1, 1)}
     assert topk.top_k(some.limit(0)).count() == 0
 
 
+def test_trees_hold_a_bounded_number_of_vectors(monkeypatch):
+    """However many vectors are nearest to one pivot."""
+    monkeypatch.setattr(topk, "TREE", 64)
+    b = topk.pd.DataFrame({"vec_id": np.arange(1000), "embedding": list(np.ones((1000, 3))), "dim": 3, "cell": 0})
+    assert all(len(t["ids"]) <= 64 for _, t in topk.forest([b[:700], b[700:]])) and sum(len(t["ids"]) for _, t in topk.forest([b[:700], b[700:]])) == 1000
+
+
+@pytest.mark.parametrize("scale, away", [(1e-25, 0), (1, 1e7), (1e20, 0)])
+def test_far_and_close_vectors(scale, away):
+    x = np.random.default_rng(1).normal(0, scale, (700, 8)) + away
+    who, which, _ = topk.search(topk.grow(np.arange(700), x), np.arange(700), x, 3, np.full(700, np.inf))
+    for i in range(700):
+        e = np.sqrt(((x - x[i]) ** 2).sum(1))
+        assert which[who == i].tolist() == [j for _, j in sorted((e[j], j) for j in range(700) if j != i)[:3]]
+
+
 # -- 10: quality ---------------------------------------------------------------
 
 
