@@ -278,6 +278,23 @@ def test_components(spark):
     assert simhash.components(e.limit(0)).count() == 0
 
 
+def test_components_in_one_task_and_in_steps(spark, monkeypatch):
+    x = np.random.default_rng(5).integers(-400, 400, (350, 2))
+    e = spark.createDataFrame([tuple(map(int, r)) for r in x], "a long, b long")
+    one = sorted(simhash.components(e).collect())
+    monkeypatch.setattr(simhash, "EDGES", 0)
+    assert one == sorted(simhash.components(e).collect()) and one
+
+
+def test_codes_come_to_the_driver_as_bytes(spark, monkeypatch):
+    codes = simhash.codes(docs(spark).selectExpr("doc_id", "text", "xxhash64(text) AS h")).where("code IS NOT NULL").select("code").distinct()
+    want = sorted(r.code & (2**64 - 1) for r in codes.collect())
+    for name in ("collect", "toPandas"):  # of a row each
+        monkeypatch.setattr(type(codes), name, None)
+    assert simhash.gathered(codes).tolist() == want
+    assert simhash.pairs(codes, shard=100).count() == simhash.pairs(codes).count()
+
+
 # -- 5: decontamination --------------------------------------------------------
 
 
