@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from lamplight.llm.common import forget, pick, released, stored
 
 D, NOISE, BATCH = 24, 32, 1024  # NOISE draws are shared by a step over BATCH tokens
-TEXTS = 2500  # that are counted or scored at a time
+TEXTS = 2500  # that are counted at a time
+CHARS = 4_000_000  # of texts that are scored at a time
+TABLE = 2048  # the largest vocabulary whose contexts' normalisers are all computed beforehand
 TOGETHER = 64  # copies of the model that are averaged in one place
 MODEL = "copy long, tokens long, model binary"
 BITS, POINTS = 21, 0x110001  # of a character (0 ends a word, else code point + 1), and how many there are
@@ -20,7 +23,7 @@ BITS, POINTS = 21, 0x110001  # of a character (0 ends a word, else code point +
 
 def ids_of(text: str, index: dict[str, int]) -> np.ndarray:
     """Word ids: 0 begins a text, 1 is any word out of the vocabulary."""
-    return np.array([0, 0, *(index.get(w, 1) for w in text.split())], np.int64)
+    return np.array([0, 0] + [index.get(w, 1) for w in text.split()], np.int64)
 
 
 def start(v: int, noise: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -44,33 +47,53 @@ class Steps:
     def __init__(self, model: list[np.ndarray], rate: float):
         self.model, self.rate, self.past = model, rate, [np.full(m.shape, 1e-2, np.float32) for m in model]
 
-    def take(self, part: int, gradient: np.ndarray) -> None:
-        self.past[part] += gradient * gradient
-        self.model[part] -= self.rate * gradient / np.sqrt(self.past[part])
+    def take(self, part: int, gradient: np.ndarray, rows=slice(None)) -> None:
+        """A step of these rows; the others' gradient is 0, which moves nothing."""
+        past = self.past[part][rows] + gradient * gradient
+        self.past[part][rows] = past
+        self.model[part][rows] -= self.rate * gradient / np.sqrt(past, out=past)
 
 
-def summed(rows: np.ndarray, x: np.ndarray, v: int) -> np.ndarray:
-    """The rows of x, added up by where they go."""
-    return np.bincount((rows[:, None] * D + np.arange(D)).ravel(), x.ravel(), v * D).reshape(v, D).astype(np.float32)
+def summed(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the rows of x go, and the sum of those that go there."""
+    some = np.bincount(rows) > 0
+    u, at_ = np.flatnonzero(some), (np.cumsum(some) - 1)[rows]
+    return u, np.bincount((at_[:, None] * x.shape[1] + np.arange(x.shape[1])).ravel(), x.ravel(), len(u) * x.shape[1]).reshape(len(u), -1).astype(np.float32)
 
 
 def nce(steps: Steps, c1, c2, w, noise, cdf, rng) -> None:
     """One step over a batch: data against NOISE draws from the unigram distribution."""
     ctx, out, mats, bias = steps.model
-    v, h1, h2 = len(bias), ctx[c1], ctx[c2]
+    h1, h2 = ctx.take(c1, 0), ctx.take(c2, 0)
     q = h1 @ mats[0] + h2 @ mats[1]
     k = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), len(noise) - 1)
-    rw, rk = out[w], out[k]
-    sw = np.einsum("nd,nd->n", q, rw) + bias[w] - np.log(NOISE * noise[w])
-    sk = q @ rk.T + bias[k] - np.log(NOISE * noise[k])
-    gw = ((1 / (1 + np.exp(-np.clip(sw, -30, 30))) - 1) / len(w)).astype(np.float32)
-    gk = ((1 / (1 + np.exp(-np.clip(sk, -30, 30)))) / len(w)).astype(np.float32)
-    dq = gw[:, None] * rw + gk @ rk
+    rw, rk = out.take(w, 0), out.take(k, 0)
+
+    def sigmoid(s):  # in place
+        np.clip(s, -30, 30, out=s)
+        np.negative(s, out=s)
+        np.exp(s, out=s)
+        s += 1
+        return np.divide(1, s, out=s)
+
+    gw = (sigmoid(np.einsum("nd,nd->n", q, rw) + bias[w] - np.log(NOISE * noise[w])) - 1) / np.float32(len(w))
+    gk = q @ rk.T
+    gk += bias[k] - np.log(NOISE * noise[k])
+    sigmoid(gk)
+    gk /= np.float32(len(w))
+    dq = gk @ rk
+    dq += gw[:, None] * rw
     d1, d2 = dq @ mats[0].T, dq @ mats[1].T
     steps.take(2, np.stack([h1.T @ dq, h2.T @ dq]))
-    steps.take(1, summed(np.concatenate([w, k]), np.concatenate([gw[:, None] * q, gk.T @ q]), v))
-    steps.take(3, np.bincount(np.concatenate([w, k]), np.concatenate([gw, gk.sum(0)]), v).astype(np.float32))
-    steps.take(0, summed(np.concatenate([c1, c2]), np.concatenate([d1, d2]), v))
+    # the bias goes with the row of its word
+    own = np.empty((len(w) + NOISE, D + 1), np.float32)
+    own[: len(w), :D], own[len(w) :, :D] = gw[:, None] * q, gk.T @ q
+    own[: len(w), D], own[len(w) :, D] = gw, gk.sum(0)
+    rows, g = summed(np.concatenate([w, k]), own)
+    steps.take(1, g[:, :D], rows)
+    steps.take(3, g[:, D], rows)
+    rows, g = summed(np.concatenate([c1, c2]), np.concatenate([d1, d2]))
+    steps.take(0, g, rows)
 
 
 def trigrams(words: list[str]) -> np.ndarray:
@@ -112,29 +135,67 @@ class Spelling:
 
     def log_p(self, words: list[str], free: bool = True) -> float:
         """The sum over the words."""
+        return float(self.each(words, free).sum())
+
+    def each(self, words: list[str], free: bool = True) -> np.ndarray:
         if not words:
-            return 0.0
+            return np.empty(0)
         x = trigrams(words)
         at = np.minimum(np.searchsorted(self.keys, x), max(0, len(self.keys) - 1))
         seen = self.keys[at] == x if len(self.keys) else np.zeros(len(x), bool)
-        total = float(self.log[at[seen]].sum()) + (0.0 if seen.all() else float(np.log(self._p(x[~seen])).sum()))
-        return total - (len(words) * np.log1p(-min(self.taken, 0.999)) if free else 0.0)
+        log = self.log[at] if len(self.keys) else np.empty(len(x))
+        if not seen.all():
+            log[~seen] = np.log(self._p(x[~seen]))
+        ends = np.cumsum([len(w) + 1 for w in words])  # of each word's trigrams
+        return np.add.reduceat(log, np.concatenate([[0], ends[:-1]])) - (np.log1p(-min(self.taken, 0.999)) if free else 0.0)
 
 
-def log_probs(model, c1, c2, w) -> np.ndarray:
-    """Normalised log p of each token; matrix products over the distinct contexts give the normalisers."""
+def normalisers(model, u: np.ndarray) -> np.ndarray:
+    """Of the contexts u, numbered c1 * v + c2: the log of the sum of exp over the vocabulary."""
     ctx, out, mats, bias = model[:4]
-    v = len(bias)
-    u, back = np.unique(c1 * v + c2, return_inverse=True)
-    q, z = ctx[u // v] @ mats[0] + ctx[u % v] @ mats[1], np.empty(len(u), np.float32)
-    for k in range(0, len(u), 8192):
-        s = q[k : k + 8192] @ out.T + bias
+    v, z = len(bias), np.empty(len(u), np.float32)
+    for k in range(0, len(u), 1024):
+        some = u[k : k + 1024]
+        s = (ctx[some // v] @ mats[0] + ctx[some % v] @ mats[1]) @ out.T
+        s += bias
         top = s.max(1)
-        z[k : k + 8192] = top + np.log(np.exp(s - top[:, None]).sum(1))
-    lp = np.empty(len(w), np.float64)
-    for k in range(0, len(w), 65536):
-        b = back[k : k + 65536]
-        lp[k : k + 65536] = np.einsum("nd,nd->n", q[b], out[w[k : k + 65536]]) + bias[w[k : k + 65536]] - z[b]
+        s -= top[:, None]
+        z[k : k + 1024] = top + np.log(np.exp(s, out=s).sum(1))
+    return z
+
+
+def table_of(spark, model) -> np.ndarray | None:
+    """The normalisers of all contexts, computed in the executors, if there aren't too many: then no token needs a sum
+    over the vocabulary, however many there are."""
+    v = len(model[3])
+    if v > TABLE:
+        return None
+    sent = spark.sparkContext.broadcast(model[:4])
+
+    def rows(batches):
+        for b in batches:
+            for c1 in b["id"]:
+                yield pd.DataFrame({"c1": [c1], "z": [normalisers(sent.value, c1 * v + np.arange(v)).tobytes()]})
+
+    got = spark.range(v, numPartitions=min(v, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(released(rows), "c1 long, z binary").collect()
+    return np.concatenate([np.frombuffer(r.z, np.float32) for r in sorted(got)])
+
+
+def log_probs(model, c1, c2, w, table: np.ndarray | None = None) -> np.ndarray:
+    """Normalised log p of each token; without a table, matrix products over the distinct contexts give the normalisers."""
+    ctx, out, mats, bias = model[:4]
+    v = len(bias)
+    if table is None:
+        u, back = np.unique(c1 * v + c2, return_inverse=True)
+        z = normalisers(model, u)[back]
+    else:
+        z = table[c1 * v + c2]
+    one, two, lp = ctx @ mats[0], ctx @ mats[1], np.empty(len(w), np.float64)
+    for k in range(0, len(w), 8192):
+        i = slice(k, k + 8192)
+        q = one.take(c1[i], 0)
+        q += two.take(c2[i], 0)
+        lp[i] = np.einsum("nd,nd->n", q, out.take(w[i], 0)) + bias[w[i]] - z[i]
     return lp
 
 
@@ -150,7 +211,9 @@ def train(docs: DataFrame, vocabulary: int = 1024, rounds: int = 3, copy_tokens:
     def count(batches):
         for b in batches:
             for k in range(0, len(b), TEXTS):
-                n = Counter(w for t in b.text.iloc[k : k + TEXTS] for w in t.split())
+                n = Counter()
+                for t in b.text.iloc[k : k + TEXTS]:
+                    n.update(t.split())
                 yield pd.DataFrame({"w": list(n), "n": list(n.values())})
 
     words = stored(texts.select("text").mapInPandas(released(count), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
@@ -214,22 +277,49 @@ def averaged(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"copy": [int(key[0])], "tokens": [total], "model": [(flat / total).astype(np.float32).tobytes() if total else b""]})
 
 
+class Numbers(dict):
+    """0, 1 and so on, in the order in which keys are asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def parts_of(b: pd.DataFrame):
+    """The rows in parts of about CHARS characters, in order."""
+    n = np.array([len(t or "") for t in b.text], np.int64)
+    place = (np.cumsum(n) - n) // CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(b)]
+    for i, j in zip(cuts, cuts[1:]):
+        if i < j:
+            yield b.iloc[i:j]
+
+
 def score(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, perplexity, log_prob (the sum), tokens; a row for each row, null ids and repeated rows included. A text
     without words, or null, has 0 tokens and nulls; so has every text of a table without words. A token is a word, at
     white space of any kind; equal texts have equal scores, and whole texts are scored."""
     index, model = train(docs, **kw)
-    sent, rows = docs.sparkSession.sparkContext.broadcast((index, model)), pick(docs, "doc_id", "text")
+    spark, rows = docs.sparkSession, pick(docs, "doc_id", "text")
+    sent = spark.sparkContext.broadcast((index, model, table_of(spark, model)))
 
     def each(batches):
-        index, model = sent.value
-        for b in (whole.iloc[k : k + TEXTS] for whole in batches for k in range(0, len(whole), TEXTS)):
-            x = [ids_of(t or "", index) for t in b.text]
-            n = np.array([len(t) - 2 for t in x], np.int64)
-            lp = log_probs(model, *(np.concatenate([t[i : len(t) - 2 + i] for t in x]) for i in (1, 0, 2))) if len(x) else np.empty(0)
-            ends = np.concatenate([[0], np.cumsum(lp)])[np.concatenate([[0], np.cumsum(n)])]
-            spelled = [model[4].log_p([w for w in (t or "").split() if w not in index]) for t in b.text]
-            s = np.where(n > 0, np.diff(ends) + np.array(spelled, float), np.nan)
+        index, model, table = sent.value
+        for b in (part for whole in batches for part in parts_of(whole)):
+            # a batch's words have numbers, so each is looked up and spelled once
+            words, own = [(t or "").split() for t in b.text], Numbers()
+            n = np.array([len(t) for t in words], np.int64)
+            k = np.fromiter(map(own.__getitem__, chain.from_iterable(words)), np.int64, n.sum())
+            kinds = list(own)
+            at_, said = np.array([index.get(w, 1) for w in kinds], np.int64), np.zeros(len(kinds))
+            rare = np.flatnonzero(at_ == 1)
+            said[rare] = model[4].each([kinds[i] for i in rare])
+            w, begin = at_[k], (np.cumsum(n) - n)[n > 0]
+            c1, c2 = (np.concatenate([np.zeros(m, np.int64), w])[: len(w)] for m in (1, 2))
+            c1[begin] = c2[begin] = 0
+            c2[(begin + 1)[n[n > 0] > 1]] = 0
+            lp = log_probs(model, c1, c2, w, table) + said[k]
+            s = np.where(n > 0, np.diff(np.concatenate([[0], np.cumsum(lp)])[np.concatenate([[0], np.cumsum(n)])]), np.nan)
             yield pd.DataFrame({"doc_id": b.doc_id.array, "perplexity": np.exp(np.minimum(-s / np.maximum(n, 1), 700)), "log_prob": s, "tokens": n})
 
     out = rows.mapInPandas(released(each), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, perplexity double, log_prob double, tokens long")

@@ -170,6 +170,21 @@ def test_lm_spells_rare_words(spark):
     assert index == {"the": 2}
 
 
+def test_normalisers_are_computed_once(spark, monkeypatch):
+    """Scoring sums over the vocabulary as often as there are contexts, not tokens; parts of any size say the same."""
+    index, model = lm.train(docs(spark), vocabulary=32)
+    r = np.random.default_rng(0)
+    c1, c2, w = r.integers(0, len(model[3]), (3, 5000))
+    table, want = lm.table_of(spark, model), lm.log_probs(model, c1, c2, w)
+    monkeypatch.setattr(lm, "normalisers", None)
+    assert np.allclose(lm.log_probs(model, c1, c2, w, table), want, rtol=1e-5)
+    b = docs(spark).toPandas()
+    monkeypatch.setattr(lm, "CHARS", 5000)
+    parts = list(lm.parts_of(b))
+    assert len(parts) > 10 and [i for p in parts for i in p.doc_id] == b.doc_id.tolist()
+    assert np.allclose(model[4].each(["qxz", "nation", "a"]), [model[4].log_p([x]) for x in ("qxz", "nation", "a")])
+
+
 def test_copies_are_averaged_the_same_way_in_any_number(spark):
     a = lm.score(docs(spark), vocabulary=32, copy_tokens=2_000).orderBy("doc_id").collect()
     b = lm.score(docs(spark).repartition(5), vocabulary=32, copy_tokens=2_000).orderBy("doc_id").collect()
