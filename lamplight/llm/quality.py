@@ -214,24 +214,28 @@ def limits(trusted: DataFrame, quantile: float, widen: float, slack: float, leas
     return out
 
 
-def decided(docs: DataFrame, labels: DataFrame, train_limit: int = 20_000, quantile: float = 0.01, widen: float = 1.5, slack: float = 0.03, least: int = 50) -> DataFrame:
-    """key, perplexity, type_perplexity, keep of each distinct (lang, text)."""
+def decided(docs: DataFrame, labels: DataFrame, quantile: float = 0.01, widen: float = 1.5, slack: float = 0.03, least: int = 50) -> DataFrame:
+    """key, perplexity, type_perplexity, keep of each distinct (lang, text). The texts are cut in two by their hash, and all
+    trusted texts of one half make the model that scores the other: every trusted text trains, every one says where the
+    limits lie, and none is scored by a model that has seen it (unless a half has none: then all train one model)."""
     ids = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.count_if(F.col("quality").isNull()).alias("none")).where("q = 1 AND none = 0").select("doc_id", F.xxhash64("doc_id").alias("h"))
     ids = stored(ids, "trusted")
-    # half of the trusted texts train the model, at most train_limit; the limits come from all of the other half
-    train, held = ids.where("h % 2 = 0").orderBy("h", "doc_id").limit(train_limit), ids.where("h % 2 <> 0")
-    if held.isEmpty() or train.isEmpty():
-        train, held = ids.orderBy("h", "doc_id").limit(train_limit), ids
-    rows = pick(docs, "doc_id", "lang", "text")
-    langs, shards = model(rows.join(small(train.select("doc_id")), "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("lang"), "text").where("lang <> ''"))
-    own = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(F.lit("")) if langs else F.lit("")
+    rows, half = pick(docs, "doc_id", "lang", "text"), F.pmod(F.xxhash64("lang", "text"), F.lit(2))
+    trusted_texts = rows.join(small(ids.select("doc_id")), "doc_id", "left_semi").where("lang <> ''").select("lang", "text", half.alias("half"))
+    models = [model(trusted_texts.where(F.col("half") == k).select("lang", "text")) for k in (1, 0)]  # that score half 0 and 1
+    if not all(langs for langs, _ in models):
+        models = [model(trusted_texts.select("lang", "text"))] * 2
+    langs = sorted({lang for own, _ in models for lang in own})
+    named = [F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit("")) if own else F.lit("") for own, _ in models]
+    own = F.when(half == 0, named[0]).otherwise(named[1])
     size = F.greatest(F.lit(5), F.least(F.lit(13), F.floor(F.log2(F.length("text"))))).cast("int")
     known = rows.where("length(text) > 0").select("doc_id", own.alias("lang"), size.alias("size"), F.xxhash64("lang", "text").alias("key"))
     if not langs:  # no trusted texts: nothing to hold a document against
         return known.select("key", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("type_perplexity"), F.lit(True).alias("keep")).distinct()
-    said = stored(scores(docs, langs, shards).select("key", (F.col("token_nats") / F.col("tokens")).alias("by_token"), (F.col("type_nats") / F.col("types")).alias("by_type")), "nats")
+    every = [scores(rows.where(half == k).select("lang", "text"), *models[k]) for k in (0, 1)]
+    said = stored(every[0].unionByName(every[1]).select("key", (F.col("token_nats") / F.col("tokens")).alias("by_token"), (F.col("type_nats") / F.col("types")).alias("by_type")), "nats")
     of = known.groupBy("key").agg(F.min("lang").alias("lang"), F.min("size").alias("size")).join(said, "key")
-    trusted = known.join(small(held.select("doc_id")), "doc_id", "left_semi").select("key", "lang", "size").join(said, "key")
+    trusted = known.join(small(ids.select("doc_id")), "doc_id", "left_semi").select("key", "lang", "size").join(said, "key")
     bounds = limits(trusted, quantile, widen, slack, least)
     if not bounds:
         return of.select("key", F.exp("by_token").alias("perplexity"), F.exp("by_type").alias("type_perplexity"), F.lit(True).alias("keep"))

@@ -536,6 +536,26 @@ def test_quality_on_labels(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def test_every_trusted_text_trains(spark, monkeypatch):
+    """And none is scored by a model that has seen it."""
+    labels, real, models, seen = spark.read.parquet(f"{D}/labels.parquet"), (quality.model, quality.scores), [], []
+
+    def model(x):
+        models.append({(r.lang, r.text) for r in x.collect()})
+        return real[0](x)
+
+    def scores(x, langs, shards):
+        seen.append({(r.lang, r.text) for r in x.collect()})
+        return real[1](x, langs, shards)
+
+    monkeypatch.setattr(quality, "model", model)
+    monkeypatch.setattr(quality, "scores", scores)
+    quality.decided(docs(spark), labels)
+    good = {(r.lang, r.text) for r in docs(spark).join(labels.where("quality = 1"), "doc_id").collect() if r.text}
+    assert len(models) == len(seen) == 2 and models[0] | models[1] == good
+    assert all(m and not m & x for m, x in zip(models, seen))
+
+
 # -- pipeline ------------------------------------------------------------------
 
 
