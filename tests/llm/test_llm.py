@@ -310,6 +310,30 @@ def test_codes_come_to_the_driver_as_bytes(spark, monkeypatch):
     assert simhash.pairs(codes, shard=100).count() == simhash.pairs(codes).count()
 
 
+def test_sketches_rule_out_no_similar_sets():
+    rng, ruled_out = np.random.default_rng(3), 0
+    for n in (1, 2, 3, 7, 40, 500, 5000):
+        for m in {1, n // 2 + 1, n, 2 * n, 9 * n}:
+            for same in {0, min(n, m) // 2, min(n, m)}:
+                h = np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64))
+                x = rng.permutation(h)[:n]
+                y = np.concatenate([x[:same], np.setdiff1d(h, x)[: m - same]])
+                most = simhash.shared(simhash.sketch(x), len(x), simhash.sketch(y), len(y))
+                assert most >= len(np.intersect1d(x, y)) == same and most == simhash.shared(simhash.sketch(y), len(y), simhash.sketch(x), len(x))
+                ruled_out += n == m >= 40 and same == 0 and most < simhash.JACCARD * (n + m - most)
+    assert ruled_out == 3
+
+
+def test_only_likely_pairs_move_their_word_pairs(spark, monkeypatch):
+    """Near codes alone, as of the documents above, send no sets of word pairs to each other."""
+    compared, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda c, *a: compared.append(c.count()) or verified(c, *a))
+    x = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id IN (820, 2720, 1581, 2132)")
+    assert all(r.keep for r in simhash.near_duplicates(x).collect()) and sum(compared) == 0
+    y = x.unionByName(x.where("doc_id = 820").selectExpr("9999999 AS doc_id", "text || ' more' AS text", "lang", "source", "n_chars"))
+    assert {r.doc_id for r in simhash.near_duplicates(y).collect() if not r.keep} == {9999999} and sum(compared) == 1
+
+
 # -- 5: decontamination --------------------------------------------------------
 
 
